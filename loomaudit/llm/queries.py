@@ -20,5 +20,32 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_simhash": op9_simhash}
-ORACLES: dict[str, str] = {}
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without 20-word windows that start earlier elsewhere."""
+    from .substring import remove_repeats
+
+    found = remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS gram FROM w, unnest(range(1, len(words) - 18)) AS u(i)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY gram ORDER BY doc_id, i) AS rn FROM win) WHERE rn > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + o AS j FROM later, unnest(range(0, 20)) AS v(o)
+), word AS (
+  SELECT doc_id, j, words[j] AS x FROM w, unnest(range(1, len(words) + 1)) AS t(j)
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring": op2_substring, "op9_simhash": op9_simhash}
+ORACLES: dict[str, str] = {"op2_substring": OP2_SQL}
