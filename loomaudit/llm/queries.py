@@ -30,7 +30,7 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
 ), win AS (
   SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS gram FROM w, unnest(range(1, len(words) - 18)) AS u(i)
 ), later AS (
