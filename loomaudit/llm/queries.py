@@ -12,6 +12,46 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in a benchmark window, and the items met."""
+    from .decontam import contamination
+
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS k, array_to_string(words[i:i + 9], ' ') AS gram
+  FROM b, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS u(i) WHERE len(words) > 0
+), size AS (SELECT DISTINCT k FROM bw), dw AS (
+  SELECT doc_id, k, i, array_to_string(words[i:i + k - 1], ' ') AS gram FROM w, size, unnest(range(1, len(words) - k + 2)) AS u(i)
+), met AS (
+  SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (k, gram)
+), hit AS (
+  SELECT doc_id, count(DISTINCT i + o) AS n FROM met, unnest(range(0, k)) AS v(o) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM met) GROUP BY doc_id
+)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM w LEFT JOIN hit ON w.doc_id = hit.doc_id LEFT JOIN it ON w.doc_id = it.doc_id
+"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by SimHash over Golay keys."""
     from .simhash import near_duplicates
@@ -47,5 +87,5 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring": op2_substring, "op9_simhash": op9_simhash}
-ORACLES: dict[str, str] = {"op2_substring": OP2_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring": op2_substring, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash}
+ORACLES: dict[str, str] = {"op2_substring": OP2_SQL, "op8_decontaminate": OP8_SQL}
