@@ -87,5 +87,14 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring": op2_substring, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash}
+def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of a ring without slack: counts differ by one at most."""
+    from .sharding import shard_rows
+
+    found = shard_rows(_table(spark, sf_dir, "documents"), shards=16, slack=0.0)
+    nothing = F.lit(None).cast("int").alias("grown_shard")
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", nothing)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring": op2_substring, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_ring": op10_ring}
 ORACLES: dict[str, str] = {"op2_substring": OP2_SQL, "op8_decontaminate": OP8_SQL}
