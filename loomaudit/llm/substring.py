@@ -35,7 +35,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,9 +190,9 @@ def _settle(k: int):
                 waits = np.zeros(part.num_rows, bool)
                 waits[row[~settled]] = True
                 removed, spans, text = _rebuild(words, _kept(words, row[settled], start[settled], size[settled] + k - 1))
-                wait, no = pa.array(waits), pa.array(~waits)
-                null = lambda x: pc.if_else(no, x, pa.scalar(None, x.type))
-                only = lambda x: pc.if_else(wait, x, pa.scalar(None, x.type))
+                at = np.arange(part.num_rows)
+                null = lambda x: x.take(pa.array(at, mask=waits))
+                only = lambda x: x.take(pa.array(at, mask=~waits))
                 counts = pa.array(words.counts.astype(np.int64))
                 arrays = [part.column(0), part.column(1), counts, null(removed), spans, null(text), only(part.column(2)), only(part.column(3))]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "th", "n_words", "n_removed", "spans", "kept", "t", "pieces"])

@@ -1,7 +1,9 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from loomaudit.llm import substring
 from loomaudit.llm.substring import remove_repeats
 
 
@@ -63,3 +65,16 @@ def test_empty_and_repeated_ids(spark):
     rows = spark.createDataFrame([(1, long), (1, long), (None, "z " + long), (2, long)], "doc_id bigint, text string")
     got = sorted((r.id or 0, r.n_removed) for r in remove_repeats(rows).collect())
     assert got == [(0, 0), (1, 25), (1, 25), (2, 25)]
+
+
+def test_settling_in_several_chunks():
+    texts = ["a b c " * 400_000, "d " * 30, "e f " * 900_000, "g " * 30]
+    item = [{"start": 0, "n": 1, "mini": None}], [{"start": 2, "n": 3, "mini": 9}]
+    pieces = [item[0], item[1], item[0], item[0]]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("mini", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(range(4)), pa.array(texts), pa.array(pieces, kind)], ["id", "th", "t", "pieces"])
+    out = pa.Table.from_batches(list(substring._settle(20)([batch])))
+    out.validate(full=True)
+    assert out.num_rows == 4 and out.column("n_removed").to_pylist() == [20, None, 20, 20]
+    assert out.column("t").to_pylist() == [None, texts[1], None, None]
+    assert out.column("kept").to_pylist()[3] == " ".join(["g"] * 10)
