@@ -12,6 +12,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    from .packing import pack
+
+    found = pack(_table(spark, sf_dir, "documents"), _vocabulary(), with_ids=False)
+    return found.withColumnRenamed("id", "doc_id").drop("ids")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that lie in a benchmark window, and the items met."""
     from .decontam import contamination
@@ -96,5 +110,5 @@ def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", nothing)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring": op2_substring, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_ring": op10_ring}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring": op2_substring, "op5_packing": op5_packing, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_ring": op10_ring}
 ORACLES: dict[str, str] = {"op2_substring": OP2_SQL, "op8_decontaminate": OP8_SQL}
