@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,16 +11,19 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """URI of the folder that driver and executors share.
 
     It is ``spark.checkpoint.dir`` of the session; only where that is unset, as
-    in tests on one machine, a temporary folder is made and set.
+    in tests on one machine, a temporary folder is made and set.  A path without a
+    scheme is one of the session's default file system.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="loomaudit-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", whole).rstrip("/")
 
 
 _written: dict[str, list[str]] = {}

@@ -26,6 +26,28 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").drop("ids")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back by byte ranges."""
+    from .warc import key_of, read_warc, write_warc
+
+    found = read_warc(spark, write_warc(_table(spark, sf_dir, "pages")), with_payload=False)
+    return found.select(
+        key_of("record_id").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        key_of("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
+OP6_SQL = r"""
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
+  CASE WHEN strlen(h) >= 100 AND page_id > low THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(h) >= 100 AND page_id > low THEN low END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS low FROM pages)
+"""
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that lie in a benchmark window, and the items met."""
     from .decontam import contamination
@@ -110,5 +132,5 @@ def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", nothing)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring": op2_substring, "op5_packing": op5_packing, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_ring": op10_ring}
-ORACLES: dict[str, str] = {"op2_substring": OP2_SQL, "op8_decontaminate": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring": op2_substring, "op5_packing": op5_packing, "op6_warc": op6_warc, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_ring": op10_ring}
+ORACLES: dict[str, str] = {"op2_substring": OP2_SQL, "op6_warc": OP6_SQL, "op8_decontaminate": OP8_SQL}
