@@ -10,14 +10,15 @@ Every window of ``k`` consecutive words is an edge between its first and its las
 2. *Filter.*  A first pass counts minimizers; those met more than once go into a
    Bloom filter of fixed size that is broadcast.  It only saves work: a false
    positive costs a row, nothing depends on it.
-3. *Compaction by join.*  Pieces are grouped by minimizer.  Where all are equal,
-   the path does not branch there, and the smallest source coordinate (document,
-   start) settles all of its edges at once.
-4. *Branching pieces.*  Where a minimizer has different pieces, or a piece repeats
-   an edge within itself, its edges are listed one by one, grouped and settled by
-   their smallest coordinate.
-5. *Coordinates.*  Occurrences other than the first are joined back to their
-   texts; adjacent removed windows merge into spans.
+3. *Compaction.*  Equal pieces (minimizer and hash of all words) are one path with
+   its smallest source coordinate (document, start); joined back, every other
+   occurrence goes as a whole.
+4. *Branches.*  Where a minimizer has different pieces, or a piece repeats an edge
+   within itself, paths branch.  Only there, and only for the first occurrence of
+   each piece, edges are listed one by one, grouped, and settled by their smallest
+   coordinate.  A second filter of fixed size picks these pieces while scanning.
+5. *Coordinates.*  The windows to remove are joined with their texts, the only
+   shuffle of texts; adjacent ones merge into spans.
 
 Equality is that of two independent 64-bit hashes (minimizer, and piece or edge).
 Windows are judged on the input.  Only words inside a repeated window go.
@@ -80,7 +81,9 @@ def _pieces(words: ts.Words, k: int, m: int):
     return hashes, doc[head], at[head], size, low[at[head]], twice
 
 
-def _minimizers(k: int, m: int, bits: int):
+def _packed(k: int, m: int, bits: int):
+    """Minimizers of all pieces, twice where an edge may repeat inside."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = segments.Packer(bits)
         for batch in batches:
@@ -92,34 +95,42 @@ def _minimizers(k: int, m: int, bits: int):
     return run
 
 
-def _filter(docs: DataFrame, k: int, m: int, filter_bytes: int, seg_bits: int):
-    """Words of a Bloom filter of the minimizers that are met more than once."""
+def _filter(packed: DataFrame, least: int, filter_bytes: int, seg_bits: int) -> np.ndarray:
+    """Words of a Bloom filter of the packed hashes met at least so often; of fixed size."""
     part = filter_bytes // 8 >> seg_bits
 
     def build(seg: int, table: pa.Table) -> pa.Table:
         values, counts = segments.merge(table)
         bits = np.zeros(part, ts.U)
-        for at in segments.bloom_places(filter_bytes * 8, seg_bits, values[counts > 1], 3):
+        for at in segments.bloom_places(filter_bytes * 8, seg_bits, values[counts >= least], 3):
             at = at - seg * part * 64
             np.bitwise_or.at(bits, at >> 6, ts.U(1) << (at & 63).astype(ts.U))
         return pa.table({"seg": pa.array([seg], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    packed = docs.select("t").mapInArrow(_minimizers(k, m, seg_bits), segments.SCHEMA)
     out = np.zeros(filter_bytes // 8, ts.U)
     for row in segments.by_segment(packed, build, "seg int, bits binary").toLocalIterator():
         out[row.seg * part : (row.seg + 1) * part] = np.frombuffer(row.bits, ts.U)
     return out
 
 
+def _place(doc_key: np.ndarray, mini: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hash of a piece's place, for the filter of first occurrences."""
+    return ts.mix(doc_key ^ ts.mix(mini ^ ts.mix(start.astype(ts.U))))
+
+
+def _known(words: ts.Words, k: int, m: int, bits: np.ndarray, seg_bits: int):
+    """Pieces whose minimizer may be met again, as :func:`_pieces` gives them."""
+    hashes, *rest = _pieces(words, k, m)
+    keep = np.flatnonzero(segments.bloom_probe(bits, seg_bits, rest[3], 3))
+    return hashes, *(x[keep] for x in rest)
+
+
 def _occurrences(k: int, m: int, known, seg_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = known.value
         for batch in batches:
             for part, raw, at in ts.chunks(batch, "t"):
                 words = ts.Words(raw, at)
-                hashes, doc, start, size, low, twice = _pieces(words, k, m)
-                keep = np.flatnonzero(segments.bloom_probe(bits, seg_bits, low, 3))
-                doc, start, size, low, twice = (x[keep] for x in (doc, start, size, low, twice))
+                hashes, doc, start, size, low, twice = _known(words, k, m, known.value, seg_bits)
                 whole = ts._spans(hashes, start, start + size + k - 1)
                 local = start - words.first[:-1][doc]
                 th = part.column(1).to_numpy(zero_copy_only=False)[doc]
@@ -130,6 +141,39 @@ def _occurrences(k: int, m: int, known, seg_bits: int):
     return run
 
 
+def _pack_places(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = segments.Packer(bits)
+        for batch in batches:
+            key, mini, start = (c.to_numpy(zero_copy_only=False).astype(np.int64).view(ts.U) for c in batch.columns)
+            yield from packer.add(_place(key, mini, start))
+        yield from packer.flush()
+
+    return run
+
+
+def _edges(k: int, m: int, known, heads, seg_bits: int):
+    """Edges one by one, of pieces that may be first occurrences where paths branch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, at in ts.chunks(batch, "t"):
+                words = ts.Words(raw, at)
+                hashes, doc, start, size, low, _ = _known(words, k, m, known.value, seg_bits)
+                th, key = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in (1, 2))
+                local = start - words.first[:-1][doc]
+                keep = np.flatnonzero(segments.bloom_probe(heads.value, seg_bits, _place(key.view(ts.U), low, local), 3))
+                doc, start, size, low, th, local = (x[keep] for x in (doc, start, size, low, th, local))
+                each = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                grams = ts.gram_hashes(hashes, k)
+                spread = lambda x: np.repeat(x, size)
+                arrays = [pa.array(spread(low).view(np.int64)), pa.array(grams[spread(start) + each].view(np.int64))]
+                arrays += [part.column(0).take(pa.array(spread(doc))), pa.array((spread(th) << 32) | (spread(local) + each))]
+                yield pa.RecordBatch.from_arrays(arrays, ["mini", "edge", "id", "at"])
+
+    return run
+
+
 def _list_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Row of each element, row sizes, and the elements of a list column (null: empty)."""
     size = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)
@@ -173,67 +217,13 @@ def _rebuild(words: ts.Words, gone: np.ndarray) -> tuple[pa.Array, pa.Array, pa.
     return pa.array(removed), spans, text
 
 
-_DONE = "n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept string"
-_OPEN = "array<struct<start:int,n:int,mini:bigint>>"
-
-
-def _settle(k: int):
-    """Finish texts whose pieces are all settled; pass the others on with their text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, raw, at in ts.chunks(batch, "t"):
-                words = ts.Words(raw, at)
-                row, _, items = _list_slices(part.column(3))
-                start, size = (items.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-                settled = ~items.field(2).is_valid().to_numpy(zero_copy_only=False)
-                waits = np.zeros(part.num_rows, bool)
-                waits[row[~settled]] = True
-                removed, spans, text = _rebuild(words, _kept(words, row[settled], start[settled], size[settled] + k - 1))
-                at = np.arange(part.num_rows)
-                null = lambda x: x.take(pa.array(at, mask=waits))
-                only = lambda x: x.take(pa.array(at, mask=~waits))
-                counts = pa.array(words.counts.astype(np.int64))
-                arrays = [part.column(0), part.column(1), counts, null(removed), spans, null(text), only(part.column(2)), only(part.column(3))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "th", "n_words", "n_removed", "spans", "kept", "t", "pieces"])
-
-    return run
-
-
-def _edges(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, raw, at in ts.chunks(batch, "t"):
-                words = ts.Words(raw, at)
-                grams = ts.gram_hashes(words.hashes(), k)
-                row, _, items = _list_slices(part.column(3))
-                open_ = items.field(2).is_valid().to_numpy(zero_copy_only=False)
-                row = row[open_]
-                start, size = (items.field(i).to_numpy(zero_copy_only=False).astype(np.int64)[open_] for i in (0, 1))
-                mini = np.frombuffer(items.field(2).fill_null(0).to_numpy(zero_copy_only=False).tobytes(), np.int64)[open_]
-                each = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                local = np.repeat(start, size) + each
-                row = np.repeat(row, size)
-                th = part.column(1).to_numpy(zero_copy_only=False)[row]
-                edge = grams[words.first[:-1][row] + local].view(np.int64)
-                arrays = [pa.array(np.repeat(mini, size)), pa.array(edge), part.column(0).take(pa.array(row)), pa.array((th << 32) | local)]
-                yield pa.RecordBatch.from_arrays(arrays, ["mini", "edge", "id", "at"])
-
-    return run
-
-
-def _finish(k: int):
+def _finish():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, at in ts.chunks(batch, "t"):
                 words = ts.Words(raw, at)
-                row, _, items = _list_slices(part.column(3))
-                start, size = (items.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-                settled = ~items.field(2).is_valid().to_numpy(zero_copy_only=False)
-                more, _, single = _list_slices(part.column(4))
-                row = np.concatenate([row[settled], more])
-                start = np.concatenate([start[settled], single.to_numpy(zero_copy_only=False).astype(np.int64)])
-                width = np.concatenate([size[settled] + k - 1, np.full(len(more), k)])
+                row, _, items = _list_slices(part.column(2))
+                start, width = (items.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
                 removed, spans, text = _rebuild(words, _kept(words, row, start, width))
                 counts = pa.array(words.counts.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), counts, removed, spans, text], ["id", "n_words", "n_removed", "spans", "kept"])
@@ -256,31 +246,29 @@ def remove_repeats(
     if text_bytes is None:
         text_bytes = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     seg_bits = segments.segment_bits(text_bytes)
-    known = spark.sparkContext.broadcast(_filter(rows, k, m, filter_bytes, seg_bits))
+    send = spark.sparkContext.broadcast
+    known = send(_filter(rows.select("t").mapInArrow(_packed(k, m, seg_bits), segments.SCHEMA), 2, filter_bytes, seg_bits))
 
     occ = rows.select("id", "th", "t").mapInArrow(_occurrences(k, m, known, seg_bits), f"mini bigint, whole bigint, id {kind}, at bigint, n int, twice boolean")
     occ = common.materialise(occ, "pieces")
-    path = occ.groupBy("mini").agg(
-        F.min("whole").alias("lo"), F.max("whole").alias("hi"), F.count("*").alias("c"), F.max("twice").alias("inner"), F.min(F.struct("id", "at")).alias("first")
-    )
-    path = path.filter("c > 1 or inner").select("mini", (F.expr("lo <> hi") | F.col("inner")).alias("branches"), "first")
-    met = common.fresh_join(occ.select("mini", "id", "at", "n"), path, ["mini"])
-    met = met.filter(F.col("branches") | ~F.struct("id", "at").eqNullSafe(F.col("first")))
-    entry = F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("start"), "n", F.when(F.col("branches"), F.col("mini")).alias("mini"))
-    info = met.select("id", F.shiftright("at", 32).alias("th"), entry.alias("piece")).groupBy("id", "th").agg(F.collect_list("piece").alias("pieces"))
-
-    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
-    joined = rows.join(info, same(rows, info), "left").select(rows["id"], rows["th"], rows["t"], info["pieces"])
-    state = joined.mapInArrow(_settle(k), f"id {kind}, th bigint, {_DONE}, t string, pieces {_OPEN}")
-    state = common.materialise(state, "settled")
-    done = state.filter("n_removed is not null").select("id", "n_words", "n_removed", "spans", "kept")
-    wait = state.filter("n_removed is null").select("id", "th", "t", "pieces")
-
-    edges = wait.mapInArrow(_edges(k), f"mini bigint, edge bigint, id {kind}, at bigint")
+    path = occ.groupBy("mini", "whole").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c"), F.max("twice").alias("inner"))
+    path = common.materialise(path, "paths")
+    branch = path.groupBy("mini").agg(F.count("*").alias("kinds"), F.max("inner").alias("inner")).filter("kinds > 1 or inner").select("mini")
+    again = common.fresh_join(occ.select("mini", "whole", "id", "at", "n"), path.filter("c > 1").select("mini", "whole", "first"), ["mini", "whole"])
+    again = again.filter(~F.struct("id", "at").eqNullSafe(F.col("first"))).select("id", "at", (F.col("n") + (k - 1)).alias("width"))
+
+    head = common.fresh_join(path.select("mini", "first"), branch, ["mini"]).select("mini", "first.id", "first.at")
+    head = head.select(F.xxhash64("id", F.shiftright("at", 32)).alias("key"), "mini", F.col("at").bitwiseAND(0xFFFFFFFF).alias("start"))
+    heads = send(_filter(head.mapInArrow(_pack_places(seg_bits), segments.SCHEMA), 1, filter_bytes, seg_bits))
+    keyed = rows.select("id", "th", F.xxhash64("id", "th").alias("key"), "t")
+    edges = keyed.mapInArrow(_edges(k, m, known, heads, seg_bits), f"mini bigint, edge bigint, id {kind}, at bigint")
     edges = common.materialise(edges, "edges")
     first = edges.groupBy("mini", "edge").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
     later = common.fresh_join(edges, first, ["mini", "edge"]).filter(~F.struct("id", "at").eqNullSafe(F.col("first")))
-    later = later.select("id", F.shiftright("at", 32).alias("th"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("start"))
-    later = later.groupBy("id", "th").agg(F.collect_list("start").alias("starts"))
-    rest = wait.join(later, same(wait, later), "left").select(wait["id"], wait["th"], "t", "pieces", "starts")
-    return done.unionByName(rest.mapInArrow(_finish(k), f"id {kind}, {_DONE}"))
+    gone = again.unionByName(later.select("id", "at", F.lit(k).alias("width")))
+
+    window = F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("start"), "width")
+    info = gone.select("id", F.shiftright("at", 32).alias("th"), window.alias("w")).groupBy("id", "th").agg(F.collect_list("w").alias("windows"))
+    same = rows["id"].eqNullSafe(info["id"]) & (rows["th"] == info["th"])
+    joined = rows.join(info, same, "left").select(rows["id"], rows["t"], info["windows"])
+    return joined.mapInArrow(_finish(), f"id {kind}, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept string")

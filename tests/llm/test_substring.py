@@ -67,14 +67,13 @@ def test_empty_and_repeated_ids(spark):
     assert got == [(0, 0), (1, 25), (1, 25), (2, 25)]
 
 
-def test_settling_in_several_chunks():
+def test_rebuilding_in_several_chunks():
     texts = ["a b c " * 400_000, "d " * 30, "e f " * 900_000, "g " * 30]
-    item = [{"start": 0, "n": 1, "mini": None}], [{"start": 2, "n": 3, "mini": 9}]
-    pieces = [item[0], item[1], item[0], item[0]]
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("mini", pa.int64())]))
-    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(range(4)), pa.array(texts), pa.array(pieces, kind)], ["id", "th", "t", "pieces"])
-    out = pa.Table.from_batches(list(substring._settle(20)([batch])))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("width", pa.int32())]))
+    windows = [[{"start": 0, "width": 20}], None, [{"start": 1, "width": 20}, {"start": 2, "width": 20}], [{"start": 0, "width": 20}]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts), pa.array(windows, kind)], ["id", "t", "windows"])
+    out = pa.Table.from_batches(list(substring._finish()([batch])))
     out.validate(full=True)
-    assert out.num_rows == 4 and out.column("n_removed").to_pylist() == [20, None, 20, 20]
-    assert out.column("t").to_pylist() == [None, texts[1], None, None]
+    assert out.num_rows == 4 and out.column("n_removed").to_pylist() == [20, 0, 21, 20]
     assert out.column("kept").to_pylist()[3] == " ".join(["g"] * 10)
+    assert out.column("spans").to_pylist()[2] == [{"start": 1, "end": 22}]
