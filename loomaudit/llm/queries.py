@@ -48,6 +48,16 @@ FROM (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY c
 """
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of four fifths of them."""
+    from .lm import score_texts
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    found = score_texts(_table(spark, sf_dir, "documents"), ~held_out)
+    names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select(F.col("id").alias("doc_id"), (~F.col("trained")).alias("held_out"), *names)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that lie in a benchmark window, and the items met."""
     from .decontam import contamination
@@ -132,5 +142,5 @@ def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", nothing)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring": op2_substring, "op5_packing": op5_packing, "op6_warc": op6_warc, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_ring": op10_ring}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring": op2_substring, "op5_packing": op5_packing, "op6_warc": op6_warc, "op7_lm": op7_lm, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_ring": op10_ring}
 ORACLES: dict[str, str] = {"op2_substring": OP2_SQL, "op6_warc": OP6_SQL, "op8_decontaminate": OP8_SQL}
