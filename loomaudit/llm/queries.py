@@ -18,6 +18,15 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of quality and toxicity of all documents, and whether to keep them."""
+    from .cotrain import co_train
+
+    found = co_train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    keep = (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5)
+    return found.select(F.col("id").alias("doc_id"), "quality", "toxic", keep.alias("keep"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     from .packing import pack
@@ -142,5 +151,5 @@ def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", nothing)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring": op2_substring, "op5_packing": op5_packing, "op6_warc": op6_warc, "op7_lm": op7_lm, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_ring": op10_ring}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring": op2_substring, "op4_cotrain": op4_cotrain, "op5_packing": op5_packing, "op6_warc": op6_warc, "op7_lm": op7_lm, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_ring": op10_ring}
 ORACLES: dict[str, str] = {"op2_substring": OP2_SQL, "op6_warc": OP6_SQL, "op8_decontaminate": OP8_SQL}
