@@ -30,9 +30,9 @@ _written: dict[str, list[str]] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, remembered for :func:`release`."""
+    """A fresh path below the shared folder, remembered in :func:`written`."""
     path = f"{shared_dir(spark)}/loomaudit/{name}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    written(spark).append(path)
     return path
 
 
@@ -44,12 +44,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch table written so far; their readers must be done."""
+def written(spark: SparkSession) -> list[str]:
+    """All scratch paths of this application so far, oldest first."""
+    return _written.setdefault(spark.sparkContext.applicationId, [])
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables; whoever reads them must be done."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+    for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
+        written(spark).remove(path)
 
 
 def fresh_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -201,10 +201,11 @@ def _scan(docs: DataFrame, index: dict, kind: str) -> DataFrame:
                 before = part.column(3).to_pylist()
                 listed = [sorted({*(b or ()), *x}) for b, x in zip(before, items)]
                 arrays = [part.column(0), part.column(1), pa.array(spans, part.column(2).type), pa.array(listed, pa.list_(pa.string())), pa.array(words.counts.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "t", "spans", "items", "n_words"])
+                yield pa.RecordBatch.from_arrays([*arrays, *part.columns[4:]], ["id", "t", "spans", "items", "n_words", *part.schema.names[4:]])
 
-    out = docs.select("id", "t", "spans", "items").mapInArrow(run, f"id {kind}, t string, spans array<struct<start:int,end:int>>, items array<string>, n_words bigint")
-    return out
+    more = [f"row {docs.schema['row'].dataType.simpleString()}"] if "row" in docs.columns else []
+    schema = ", ".join([f"id {kind}", "t string", "spans array<struct<start:int,end:int>>", "items array<string>", "n_words bigint", *more])
+    return docs.select("id", "t", "spans", "items", *(["row"] if more else [])).mapInArrow(run, schema)
 
 
 def _union(spans: list) -> list:
@@ -218,16 +219,17 @@ def _union(spans: list) -> list:
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, k: int = 10, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, k: int = 10, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """``id, n_words, n_hit, spans, items`` of each document.
 
-    ``spans`` are ranges of words that lie in an occurrence of an item's window,
+    With ``carry``, a struct ``row`` holds these columns of the input.  ``spans`` are ranges of words that lie in an occurrence of an item's window,
     ``items`` the ids of items with a window in the document, sorted as strings.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    more = [F.struct(*(F.col(c) for c in carry)).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), *more)
     rows = rows.withColumns({"spans": empty, "items": F.array().cast("array<string>")})
     items = benchmark.select(F.col(item_col).alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("x"))
     size = items.agg(F.sum(F.octet_length("x"))).first()[0] or 0
@@ -239,4 +241,4 @@ def contamination(
         if b + 1 < blocks:
             rows = common.materialise(rows, "decontam")
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return rows.select("id", "n_words", n_hit.alias("n_hit"), "spans", "items", F.col("t").alias("text"))
+    return rows.select("id", "n_words", n_hit.alias("n_hit"), "spans", "items", F.col("t").alias("text"), *(["row"] if carry else []))

@@ -226,25 +226,27 @@ def _finish():
                 start, width = (items.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
                 removed, spans, text = _rebuild(words, _kept(words, row, start, width))
                 counts = pa.array(words.counts.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), counts, removed, spans, text], ["id", "n_words", "n_removed", "spans", "kept"])
+                arrays = [part.column(0), counts, removed, spans, text, *part.columns[3:]]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "n_words", "n_removed", "spans", "kept", *part.schema.names[3:]])
 
     return run
 
 
 def remove_repeats(
-    docs: DataFrame, k: int = 20, m: int = 6, filter_bytes: int = 16 << 20, text_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, k: int = 20, m: int = 6, filter_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """``id, n_words, n_removed, spans, kept``: each text without windows that start earlier elsewhere.
 
     ``spans`` are the removed word ranges, ``kept`` the remaining words joined by
-    single spaces.  ``filter_bytes`` is the fixed size of the broadcast filter.
+    single spaces.  ``filter_bytes`` is the fixed size of each broadcast filter.
+    With ``carry``, a struct ``row`` holds these columns of the input.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    rows = rows.select("id", F.xxhash64("t").bitwiseAND(0x7FFFFFFF).alias("th"), "t")
-    if text_bytes is None:
-        text_bytes = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    more = [F.struct(*(F.col(c) for c in carry)).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), *more)
+    rows = rows.select("id", F.xxhash64("t").bitwiseAND(0x7FFFFFFF).alias("th"), "t", *(["row"] if carry else []))
+    text_bytes = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     seg_bits = segments.segment_bits(text_bytes)
     send = spark.sparkContext.broadcast
     known = send(_filter(rows.select("t").mapInArrow(_packed(k, m, seg_bits), segments.SCHEMA), 2, filter_bytes, seg_bits))
@@ -270,5 +272,6 @@ def remove_repeats(
     window = F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("start"), "width")
     info = gone.select("id", F.shiftright("at", 32).alias("th"), window.alias("w")).groupBy("id", "th").agg(F.collect_list("w").alias("windows"))
     same = rows["id"].eqNullSafe(info["id"]) & (rows["th"] == info["th"])
-    joined = rows.join(info, same, "left").select(rows["id"], rows["t"], info["windows"])
-    return joined.mapInArrow(_finish(), f"id {kind}, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept string")
+    joined = rows.join(info, same, "left").select(rows["id"], rows["t"], info["windows"], *(["row"] if carry else []))
+    schema = f"id {kind}, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept string"
+    return joined.mapInArrow(_finish(), schema + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""))
