@@ -18,6 +18,38 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as linked, validated and ordered calls."""
+    from .toolcalls import CHAT_SCHEMA, chat_calls, link
+
+    return link(*chat_calls(_table(spark, sf_dir, "conversations")), CHAT_SCHEMA)
+
+
+OP3_SQL = r"""
+WITH call AS (
+  SELECT conv_id, turn, min(coalesce(text, chr(1114111))) AS t0, count(*) - 1 AS more FROM conversations WHERE role = 'user' GROUP BY conv_id, turn
+), calls AS (
+  SELECT conv_id, turn AS position, 'c' || conv_id || '-' || turn AS call_id, CASE WHEN t0 <> chr(1114111) THEN t0 END AS text, more,
+    row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS rn FROM call
+), leveled AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, position % 2, position - 2 * rn ORDER BY position) - 1 AS level FROM calls
+), res AS (
+  SELECT conv_id AS rc, turn AS answered, 'c' || conv_id || '-' || (turn - 1) AS rk, min(text) AS content, count(*) - 1 AS more_r
+  FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn
+), j AS (
+  SELECT *, CASE WHEN call_id IS NULL THEN 'orphan' WHEN rk IS NULL THEN 'pending' ELSE 'linked' END AS status,
+    CASE WHEN call_id IS NULL THEN '' WHEN text IS NULL THEN 'type:prompt' WHEN length(text) < 25 THEN 'short:prompt' ELSE '' END AS errors
+  FROM leveled FULL JOIN res ON call_id = rk
+)
+SELECT coalesce(conv_id, rc) AS conv_id, coalesce(call_id, rk) AS call_id, position, answered, level, status,
+  call_id IS NOT NULL AND errors = '' AS valid, errors, (coalesce(more, 0) + coalesce(more_r, 0))::BIGINT AS repeats,
+  '{"arguments":' || CASE WHEN call_id IS NULL THEN 'null' ELSE '{"prompt":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"turn":' || position || '}' END
+  || ',"call_id":' || to_json(coalesce(call_id, rk)) || ',"name":' || CASE WHEN call_id IS NULL THEN 'null' ELSE '"reply"' END
+  || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"' || status || '"}' AS json
+FROM j
+"""
+
+
 def op4_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of quality and toxicity of all documents, and whether to keep them."""
     from .cotrain import co_train
@@ -151,5 +183,5 @@ def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", nothing)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring": op2_substring, "op4_cotrain": op4_cotrain, "op5_packing": op5_packing, "op6_warc": op6_warc, "op7_lm": op7_lm, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_ring": op10_ring}
-ORACLES: dict[str, str] = {"op2_substring": OP2_SQL, "op6_warc": OP6_SQL, "op8_decontaminate": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring": op2_substring, "op3_toolcalls": op3_toolcalls, "op4_cotrain": op4_cotrain, "op5_packing": op5_packing, "op6_warc": op6_warc, "op7_lm": op7_lm, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_ring": op10_ring}
+ORACLES: dict[str, str] = {"op2_substring": OP2_SQL, "op3_toolcalls": OP3_SQL, "op6_warc": OP6_SQL, "op8_decontaminate": OP8_SQL}
