@@ -174,7 +174,7 @@ def co_train(
     rounds: int = 2,
     per_round: int = 200,
     confidence: float = 0.95,
-    most_labelled: int = 20_000,
+    most_labelled: int = 10_000,
     least: int = 5,
     most_words: int = 2_000,
     id_col: str = "doc_id",

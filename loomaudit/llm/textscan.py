@@ -66,7 +66,7 @@ def text_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunks(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows with at most ``most`` text bytes, or one longer row, with bytes and offsets."""
     raw, at = text_of(batch.column(text))
     lo = 0
