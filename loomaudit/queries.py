@@ -361,7 +361,7 @@ def _(spark, d):
 
 def _all_checks(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     r = _Retail(spark, d)
-    members = [f for f in ("lk008", "lk009", "lk005")]
+    members = ("lk005", "lk008", "lk009")
     out = {
         "LK001": ck.post_index_events(r.events, r.index),
         "LK002": ck.same_encounter(r.outcomes(), ck.index_encounters(r.events, r.index)),
@@ -375,11 +375,11 @@ def _all_checks(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 _NAMES = {"LK001": "lk001_events", "LK002": "lk002", "LK003": "lk003", "LK004": "lk004", "LK005": "lk005", "LK006": "lk006", "LK007": "lk007", "LK008": "lk008", "LK009": "lk009", "LK010": "lk010"}
-_TOTALS = f"""(SELECT count(*) FROM customer)"""
+_TOTALS = "(SELECT count(*) FROM customer)"
 
 
 def _summary_sql() -> str:
-    totals = {"LK006": "(SELECT count(*) FROM customer WHERE c_custkey % 10 >= 8)", "LK007": f"(SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'F')"}
+    totals = {"LK006": "(SELECT count(*) FROM customer WHERE c_custkey % 10 >= 8)", "LK007": "(SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'F')"}
     parts = [
         f"SELECT '{k}' AS check_id, count(*)::BIGINT AS n_rows, count(DISTINCT subject_id)::BIGINT AS n_subjects, count(DISTINCT subject_id) / {totals.get(k, _TOTALS)}::DOUBLE AS subject_rate FROM ({ORACLES[v]})"
         for k, v in _NAMES.items()
