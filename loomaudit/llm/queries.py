@@ -147,6 +147,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among the images of all pages."""
+    from .media import copies, page_images
+
+    found = copies(page_images(_table(spark, sf_dir, "pages")))
+    return found.select(F.col("id").alias("page_id"), F.col("class").alias("image_class"), F.col("component").alias("component_id"), "n_descriptors")
+
+
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without 20-word windows that start earlier elsewhere."""
     from .substring import remove_repeats
@@ -183,5 +191,5 @@ def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", nothing)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring": op2_substring, "op3_toolcalls": op3_toolcalls, "op4_cotrain": op4_cotrain, "op5_packing": op5_packing, "op6_warc": op6_warc, "op7_lm": op7_lm, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_ring": op10_ring}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op2_substring": op2_substring, "op3_toolcalls": op3_toolcalls, "op4_cotrain": op4_cotrain, "op5_packing": op5_packing, "op6_warc": op6_warc, "op7_lm": op7_lm, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_ring": op10_ring}
 ORACLES: dict[str, str] = {"op2_substring": OP2_SQL, "op3_toolcalls": OP3_SQL, "op6_warc": OP6_SQL, "op8_decontaminate": OP8_SQL}
