@@ -97,16 +97,17 @@ class AuditContext:
 
         notes = []
         task = task if isinstance(task, TaskSpec) else TaskSpec.from_yaml(task)
+        notes += meds.schema_warnings(spark.read.parquet(meds.find_shards(directory)[0]))
         id_map = meds.read_subject_id_map(spark, directory)
         events = meds.read_meds_events(spark, directory, encounter_column, task.splits.group_column)
         if splits is None and (found := meds.find_splits(directory)):
             splits = found
             notes.append(f"splits are those of the dataset itself: {found}")
         split_frame = sp.read_splits(spark, splits, id_map) if splits is not None else None
-        label_frame = meds.restore_ids(fx.read_labels(spark, labels), id_map, "labels") if labels is not None else None
+        label_frame = meds.restore_ids(fx.read_labels(spark, labels), id_map, "labels", True) if labels is not None else None
         matrix = fx.read_feature_matrix(spark, features) if features is not None else None
         if matrix is not None and id_map is not None:
-            matrix = matrix.with_frame(meds.restore_ids(matrix.frame, id_map, "features"))
+            matrix = matrix.with_frame(meds.restore_ids(matrix.frame, id_map, "features", True))
         return cls(events, task, split_frame, label_frame, matrix, tuple(notes))
 
     @classmethod

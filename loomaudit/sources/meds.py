@@ -87,12 +87,18 @@ def read_subject_id_map(spark: SparkSession, root: str) -> DataFrame | None:
     return df.select(F.col("subject_id").cast("string").alias("subject_id"), F.col("original_subject_id").cast("string").alias("original_subject_id"))
 
 
-def restore_ids(df: DataFrame, id_map: DataFrame | None, what: str) -> DataFrame:
-    """Original ids for surrogates; an id that the map lacks is an error."""
+def restore_ids(df: DataFrame, id_map: DataFrame | None, what: str, or_original: bool = False) -> DataFrame:
+    """Original ids for surrogates; an id that the map lacks is an error.
+
+    With ``or_original``, ids that are originals already stay as they are: side files
+    come with either.
+    """
     if id_map is None:
         return df
-    key = id_map.select(F.col("subject_id").alias("__s"), F.col("original_subject_id").alias("__o"))
-    joined = df.join(key, F.col("subject_id") == F.col("__s"), "left")
+    pairs = id_map.select(F.col("subject_id").alias("__s"), F.col("original_subject_id").alias("__o"))
+    if or_original:
+        pairs = pairs.unionByName(id_map.select(F.col("original_subject_id").alias("__s"), F.col("original_subject_id").alias("__o"))).distinct()
+    joined = df.join(pairs, F.col("subject_id") == F.col("__s"), "left")
     lost = joined.filter("subject_id is not null and __o is null").agg(F.count("*"), F.min("subject_id")).first()
     if lost[0]:
         raise InputError(f"{lost[0]} row(s) of {what} have subjects that the id map lacks, such as {lost[1]}")

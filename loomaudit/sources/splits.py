@@ -42,15 +42,16 @@ def read_splits(spark: SparkSession, path, id_map: DataFrame | None = None) -> D
     if str(path).endswith(".json"):
         try:
             text = "\n".join(r.value for r in spark.read.text(str(path)).collect())  # a driver-side document
-            return splits_from_mapping(spark, json.loads(text))
+            frame = splits_from_mapping(spark, json.loads(text))
         except ValueError as error:
             raise SplitsError(f"{path} is no JSON object of lists: {error}") from error
-    frame = normalise(spark.read.parquet(str(path)))
+    else:
+        frame = normalise(spark.read.parquet(str(path)))
     if id_map is None:
         return frame
     from .meds import restore_ids
 
-    return restore_ids(frame, id_map, "splits")
+    return restore_ids(frame, id_map, "splits", or_original=True)
 
 
 def write_json(splits: DataFrame, path) -> None:
