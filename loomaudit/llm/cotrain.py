@@ -197,7 +197,7 @@ def co_train(
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.binary())], [*part.schema.names[:-1], "f"])
 
     ys = ", ".join(f"y_{t} double" for t in targets)
-    labelled = rows.join(sample, "id").select("id", *(c.split()[0] for c in _META.split(", ")), *(f"y_{t}" for t in targets), "t")
+    labelled = rows.join(F.broadcast(sample), "id").select("id", *(c.split()[0] for c in _META.split(", ")), *(f"y_{t}" for t in targets), "t")
     labelled = labelled.mapInArrow(learn, f"id {kind}, {_META}, {ys}, f binary").orderBy(F.xxhash64("id"), "id", "f").collect()
     features = [np.frombuffer(r.f, ts.U) for r in labelled]
     truth = {t: np.array([np.nan if r[f"y_{t}"] is None else float(r[f"y_{t}"] >= 0.5) for r in labelled]) for t in targets}
@@ -236,7 +236,7 @@ def co_train(
             view.held = [r[i] for i in held], truth[t][held]
             view.train(*view.held)
 
-    sample_ids = sample.select("id")
+    sample_ids = F.broadcast(sample.select("id"))  # at most most_labelled rows
     free = table.join(sample_ids, "id", "left_anti") if views else table.limit(0)
     free = common.materialise(free, "unlabelled") if views and rounds else free
     bar = float(np.log(confidence / (1 - confidence)))
