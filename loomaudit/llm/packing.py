@@ -55,10 +55,10 @@ def _classes() -> np.ndarray:
 
 
 class Tokens:
-    """Ids of many texts at once, with a cache of pre-tokens that lives as long as the worker."""
+    """Ids of many texts at once, with a bounded cache of pre-tokens that lives as long as a task."""
 
     _by_file: dict[str, Tokens] = {}
-    MOST = 600_000
+    MOST = 200_000
 
     def __init__(self, file: str):
         import os
@@ -78,6 +78,10 @@ class Tokens:
             cls._by_file[file] = cls(file)
         return cls._by_file[file]
 
+    def forget(self) -> None:
+        """Empty the cache: workers are reused, and other stages need their memory."""
+        self.known, self.ids = {}, []
+
     def _starts(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte positions at which pre-tokens start, and which texts are unsure."""
         lead = (raw & 0xC0) != 0x80
@@ -122,7 +126,7 @@ class Tokens:
         end = np.append(start[1:], len(raw))
         values, first, back = np.unique(ts._spans(ts._BYTE[raw], start, end), return_index=True, return_inverse=True)
         if len(self.known) > self.MOST:
-            self.known, self.ids = {}, []
+            self.forget()
         rows = np.array([self.known.get(v, -1) for v in values.tolist()], np.int64)
         new = np.flatnonzero(rows < 0)
         if len(new):
@@ -219,6 +223,7 @@ def _pack(file: str, length: int, windows: int, together: int, end_id: int, with
                     if len(out) >= 4096:
                         yield _batch(out, kind)
                         out.clear()
+        tokens.forget()
         for _, pieces in fit.rest():
             emit(pieces, True)
         if out:
