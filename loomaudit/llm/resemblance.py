@@ -1,0 +1,153 @@
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of at least ``least``.
+
+Texts with equal shingle sets are one class.  Each class has ``bands`` keys of ``rows``
+minima of permuted shingle hashes; classes that share a key are candidates, and every
+candidate pair is verified by the exact similarity of the two sets.  A pair of similarity
+s shares a key but for a chance of ``(1 - s ** rows) ** bands``: 3e-6 at 0.8, 1e-11 at 0.9.
+
+A bucket of more than ``bucket`` classes is compared with its smallest class first, which
+joins a large group of copies in linear work.  What this leaves apart in such a bucket is
+compared pair by pair (all but those already in one component), so the components are
+those of all pairs of all buckets.
+
+Defined cases: words are lower-cased; fewer than ``k`` words are one shingle; null texts,
+empty texts and texts without words have the empty set and are copies of each other;
+shingles are equal if their 64-bit hashes are; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+from . import textscan as ts
+
+
+def _shingles(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct shingle hashes, ascending in each text, and each text's count."""
+    words = ts.Words(raw, at)
+    n = words.counts
+    buf, start, end = ts.single_spaced(words, lower=True)
+    grams = np.maximum(n - k + 1, np.minimum(n, 1))
+    doc = np.repeat(np.arange(len(n)), grams)
+    if not len(doc):
+        return np.zeros(0, ts.U), np.zeros(len(n), np.int64)
+    first = words.first[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(grams) - grams, grams)
+    last = np.minimum(first + k, words.first[1:][doc]) - 1
+    hashes = ts.xxh64(buf, start[first], end[last] - start[first])
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    return hashes[new], np.bincount(doc[new], minlength=len(n))
+
+
+def _classes(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each text's set; zero for the empty set."""
+    out, full = np.zeros(len(size), ts.U), np.flatnonzero(size)
+    if len(full):
+        out[full] = np.add.reduceat(ts.mix(hashes), (np.cumsum(size) - size)[full])
+    return out.view(np.int64)
+
+
+def _keys(hashes: np.ndarray, size: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """``bands`` keys of each text with shingles."""
+    full = np.flatnonzero(size)
+    cuts = (np.cumsum(size) - size)[full]
+    out = np.zeros((len(full), bands), ts.U)
+    draws = ts.mix(np.arange(1, 2 * bands * rows + 1, dtype=ts.U)).reshape(bands, rows, 2)
+    for j in range(bands if len(full) else 0):
+        out[:, j] = ts.U(j + 1)
+        for flip, factor in draws[j]:
+            low = np.minimum.reduceat((hashes ^ flip) * (factor | ts.U(1)), cuts)
+            out[:, j] = ts.mix(out[:, j] ^ low)
+    return out.view(np.int64)
+
+
+def sketches(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """``tag, class, size, keys`` of ``tag, t``; ``tag`` is any column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, at in ts.chunks(batch, "t"):
+                hashes, size = _shingles(raw, at, k)
+                keys = _keys(hashes, size, bands, rows)
+                ends = np.concatenate([[0], np.cumsum((size > 0) * bands)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_classes(hashes, size)), pa.array(size.astype(np.int64)), lists], ["tag", "class", "size", "keys"])
+
+    return texts.mapInArrow(run, f"tag {texts.schema['tag'].dataType.simpleString()}, class bigint, size bigint, keys array<bigint>")
+
+
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """``class, grams`` of ``tag, t``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, raw, at in ts.chunks(batch, "t"):
+                hashes, size = _shingles(raw, at, k)
+                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(_classes(hashes, size)), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], ["class", "grams"])
+
+    return texts.mapInArrow(run, "class bigint, grams array<bigint>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs ``a, b`` of at least this similarity."""
+    one = common.fresh_join(pairs, sets.select(F.col("class").alias("a"), F.col("grams").alias("ga")), ["a"])
+    two = common.fresh_join(one, sets.select(F.col("class").alias("b"), F.col("grams").alias("gb")), ["b"])
+    both = two.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("n"), (F.size("ga") + F.size("gb")).alias("m"))
+    return both.filter(F.col("n") / (F.col("m") - F.col("n")) >= least).select("a", "b")
+
+
+def _fitting(pairs: DataFrame, least: float) -> DataFrame:
+    """Distinct ordered pairs of ``a, sa, b, sb`` whose sizes allow the similarity."""
+    fit = F.least("sa", "sb") / F.greatest("sa", "sb") >= least
+    return pairs.filter((F.col("a") != F.col("b")) & fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 24, rows: int = 4, bucket: int = 32, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``id, row, component`` of each row; ``row`` is the column ``row_col`` (or null), ``component`` a class."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    row = F.col(row_col) if row_col else F.lit(None).cast("bigint")
+    tagged = docs.select(F.struct(F.col(id_col).alias("id"), row.alias("row"), F.xxhash64(text).alias("text")).alias("tag"), text.alias("t"))
+    known = common.materialise(sketches(tagged, k, bands, rows), "sketches")
+    classes = known.filter("size > 0").groupBy("class").agg(F.min("size").alias("size"), F.min("keys").alias("keys"), F.min("tag.text").alias("text"))
+    classes = common.materialise(classes, "classes")
+    entries = classes.select("class", "size", F.explode("keys").alias("key"))
+    count = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("class", "size")).alias("hub")).filter("n > 1")
+    sized = common.materialise(common.fresh_join(entries, count, ["key"]), "buckets")
+    lists = sized.filter(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("class", "size")).alias("es"))
+    small = lists.select(F.posexplode("es").alias("i", "x"), "es").select("x", F.explode(F.slice("es", F.col("i") + 2, bucket)).alias("y"))
+    small = small.select(F.col("x.class").alias("a"), F.col("x.size").alias("sa"), F.col("y.class").alias("b"), F.col("y.size").alias("sb"))
+    hot = sized.filter(F.col("n") > bucket).select("key", "class", "size", "hub")
+    star = hot.select(F.col("hub.class").alias("a"), F.col("hub.size").alias("sa"), F.col("class").alias("b"), F.col("size").alias("sb"))
+    pairs = common.materialise(_fitting(small.unionByName(star), least), "candidates")
+
+    def sets_of(which: DataFrame) -> DataFrame:
+        ids = which.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        texts = common.fresh_join(classes.select("class", "text"), ids, ["class"]).select(F.col("text").alias("tag"))
+        mine = docs.select(F.xxhash64(text).alias("tag"), text.alias("t")).join(texts.hint("shuffle_hash"), "tag", "left_semi").dropDuplicates(["tag"])
+        return common.materialise(_sets(mine, k), "sets")
+
+    links = common.materialise(_verified(pairs, sets_of(pairs), least), "similar")
+    root = common.components(links).withColumnRenamed("node", "class")
+    # large buckets: whatever is not of the bucket's largest component yet meets all others
+    joined = hot.select("key", "class", "size").join(root, "class", "left").select("key", "class", "size", F.coalesce("root", "class").alias("root"))
+    joined = common.materialise(joined, "apart")
+    main = joined.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("parts"))
+    main = main.filter("parts > 1").select("key", F.col("m.root").alias("main"))
+    open_ = common.materialise(common.fresh_join(joined, main, ["key"]), "open")
+    lone = open_.filter("root <> main").select("key", F.col("class").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"))
+    rest = common.fresh_join(lone, open_.select("key", F.col("class").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb")), ["key"])
+    more = common.materialise(_fitting(rest.filter("ra <> rb"), least), "rest")
+    if more.head(1):
+        links = common.materialise(links.unionByName(_verified(more, sets_of(more), least)), "similar")
+        root = common.components(links).withColumnRenamed("node", "class")
+    named = known.select("tag.id", "tag.row", "class").join(root, "class", "left")
+    return named.select("id", "row", F.coalesce("root", "class").alias("component"))

@@ -1,0 +1,69 @@
+import itertools
+import random
+
+import pytest
+
+from loomaudit.llm import resemblance
+
+
+def shingles(text, k=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def similarity(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def brute(texts, least=0.8):
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if similarity(sets[a], sets[b]) >= least:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return {frozenset(i for i in range(len(texts)) if find(i) == r) for r in {find(i) for i in range(len(texts))}}
+
+
+def edited(rng, words, least, most):
+    """A copy with as many scattered changes as bring the similarity into the range."""
+    base, out = shingles(" ".join(words)), list(words)
+    while (s := similarity(base, shingles(" ".join(out)))) >= most:
+        out[rng.randrange(len(out))] = f"new{rng.random()}"
+    return out if s >= least else edited(rng, words, least, most)
+
+
+def parts(spark, texts, **more):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {}
+    for r in resemblance.near_copies(df, **more).collect():
+        out.setdefault(r.component, set()).add(r.id)
+    return {frozenset(g) for g in out.values()}
+
+
+@pytest.mark.parametrize("least", [0.8, 0.9, 0.95])
+def test_recall_of_planted_copies(spark, least):
+    rng, texts = random.Random(int(least * 100)), []
+    for _ in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([300, 1000]))]
+        texts += [" ".join(words), " ".join(edited(rng, words, least, least + 0.04))]
+    assert parts(spark, texts) == {frozenset((i, i + 1)) for i in range(0, 120, 2)}
+
+
+@pytest.mark.parametrize("bucket", [32, 2])
+def test_components_match_brute_force(spark, bucket):
+    rng = random.Random(7)
+    texts = [None, "", " \n", "One", "one", "one two", "a b c d e f", "a b c d e g"]
+    for _ in range(6):  # chains: neighbours are similar, ends are not
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randint(30, 90))]
+        for _ in range(12):
+            texts.append(" ".join(words))
+            words = list(words)
+            words[rng.randrange(len(words))] = f"v{rng.randrange(400)}"
+    assert parts(spark, texts, bucket=bucket) == brute(texts)
+    assert resemblance.near_copies(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
