@@ -63,8 +63,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     from .packing import pack
 
-    found = pack(_table(spark, sf_dir, "documents"), _vocabulary(), with_ids=False)
-    return found.withColumnRenamed("id", "doc_id").drop("ids")
+    found = pack(_table(spark, sf_dir, "documents"), _vocabulary())
+    return found.withColumn("ids_crc32", F.crc32("ids")).withColumnRenamed("id", "doc_id").drop("ids")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
