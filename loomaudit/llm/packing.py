@@ -21,6 +21,7 @@ are ignored.
 from __future__ import annotations
 
 import bisect
+import itertools
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -69,8 +70,7 @@ class Tokens:
         self.model = Tokenizer.from_file(file)
         self.model.encode_special_tokens = True
         self.classes = _classes()
-        self.known: dict[int, int] = {}
-        self.ids: list[list[int]] = []
+        self.forget()
 
     @classmethod
     def of(cls, file: str) -> Tokens:
@@ -80,7 +80,8 @@ class Tokens:
 
     def forget(self) -> None:
         """Empty the cache: workers are reused, and other stages need their memory."""
-        self.known, self.ids = {}, []
+        self.known: dict[bytes, int] = {}
+        self.ids, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _starts(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte positions at which pre-tokens start, and which texts are unsure."""
@@ -124,27 +125,26 @@ class Tokens:
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         start, unsure = self._starts(raw, at)
         end = np.append(start[1:], len(raw))
-        values, first, back = np.unique(ts._spans(ts._BYTE[raw], start, end), return_index=True, return_inverse=True)
+        first, back = _distinct(raw, start, end)
         if len(self.known) > self.MOST:
             self.forget()
-        rows = np.array([self.known.get(v, -1) for v in values.tolist()], np.int64)
+        view = raw.tobytes()
+        texts = [view[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+        rows = np.fromiter(map(self.known.get, texts, itertools.repeat(-1)), np.int64, len(texts))
         new = np.flatnonzero(rows < 0)
         if len(new):
-            view = raw.tobytes()
-            texts = [view[a:b].decode("utf-8") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())]
-            for i, v, e in zip(new.tolist(), values[new].tolist(), self.model.encode_batch_fast(texts, add_special_tokens=False)):
-                self.known[v] = rows[i] = len(self.ids)
-                self.ids.append(e.ids)
-        found = [self.ids[r] for r in rows.tolist()]
-        size = np.array([len(x) for x in found], np.int64)
-        flat = np.array([i for x in found for i in x], np.uint32)
-        where = np.cumsum(size) - size
-        each = size[back]
+            words = [texts[i] for i in new.tolist()]
+            found = [e.ids for e in self.model.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
+            rows[new] = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(new))
+            self.known.update(zip(words, rows[new].tolist()))
+            self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
+            self.ids = np.append(self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32))
+        where, each = self.begin[rows], np.diff(self.begin)[rows][back]
         total = np.cumsum(each)
-        ids = flat[np.repeat(where[back] - (total - each), each) + np.arange(int(total[-1]))]
+        ids = self.ids[np.repeat(where[back] - (total - each), each) + np.arange(int(total[-1]))]
         bounds = np.append(0, total)[np.searchsorted(start, at)]
         if unsure.any():
-            view, parts = raw.tobytes(), []
+            parts = []
             for d in range(len(at) - 1):
                 whole = view[at[d] : at[d + 1]].decode("utf-8") if unsure[d] else None
                 parts.append(np.array(self.model.encode(whole, add_special_tokens=False).ids, np.uint32) if unsure[d] else ids[bounds[d] : bounds[d + 1]])
@@ -152,6 +152,15 @@ class Tokens:
         return ids, bounds
 
 
+def _distinct(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A representative of each distinct slice, and each slice's number; bytes decide, not their hashes."""
+    _, first, back = np.unique(ts.slice_hashes(raw, start, end), return_index=True, return_inverse=True)
+    size = end - start
+    odd = np.flatnonzero((size != size[first][back]) | ~ts.same_slices(raw, start, size, start[first][back]))
+    back[odd] = len(first) + np.arange(len(odd))  # collisions stand for themselves
+    return np.concatenate([first, odd]), back
+
+
 class BestFit:
     """Open windows of one task."""
 

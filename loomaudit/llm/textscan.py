@@ -9,8 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 _C1, _C2, _GOLD = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
-_P = 0xD1342543DE82EF95
-_P_INV = pow(_P, -1, 1 << 64)
+_P = U(0xD1342543DE82EF95)
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,27 +29,64 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U))
-_pow = [np.ones(1, U), np.ones(1, U)]
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, up to ``n``, kept per process."""
-    if len(_pow[0]) < n + 1:
-        size = max(n + 1, 1 << 16)
-        for k, p in enumerate((_P, _P_INV)):
-            steps = np.full(size, U(p))
-            steps[0] = U(1)
-            _pow[k] = np.cumprod(steps, dtype=U)
-    return _pow[0][: n + 1], _pow[1][: n + 1]
+def slice_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each slice of bytes: blocks of eight, one bijective mix after another.
+
+    Slices of equal length up to eight bytes never collide, and no sum over places is
+    involved, so regular orders of letters are nothing special.
+    """
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    u64 = np.ndarray(len(padded) - 7, "<u8", padded, 0, (1,))
+    left = end - start
+    out = mix(left.astype(U) * _C2 + U(seed))
+    out = mix(out ^ (u64[start] & _TAIL[np.minimum(left, 8)]))
+    live, at = np.flatnonzero(left > 8), start
+    while len(live):
+        at = at + 8
+        left = left - 8
+        out[live] = mix(out[live] ^ (u64[at[live]] & _TAIL[np.minimum(left[live], 8)]))
+        live = live[left[live] > 8]
+    return out
 
 
-def _spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice of ``values``, by prefix sums."""
-    up, down = _powers(len(values))
-    sums = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) * _C2)
+def same_slices(raw: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether the bytes at ``start`` and at ``other`` agree over ``size``."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    u64 = np.ndarray(len(padded) - 7, "<u8", padded, 0, (1,))
+    out = np.ones(len(start), bool)
+    live, done = np.flatnonzero(size > 0), 0
+    while len(live):
+        mask = _TAIL[np.minimum(size[live] - done, 8)]
+        same = (u64[start[live] + done] & mask) == (u64[other[live] + done] & mask)
+        out[live[~same]] = False
+        done += 8
+        live = live[same & (size[live] > done)]
+    return out
+
+
+def _doubled(values: np.ndarray, most: int):
+    """Hashes of 1, 2, 4, ... consecutive values, up to ``most``, with their widths."""
+    width = 1
+    while width <= most:
+        yield width, values
+        if len(values) <= width:
+            return
+        values = mix(values[:-width] * _P + values[width:])
+        width *= 2
+
+
+def span_hashes(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice of ``values``, put together from slices of 1, 2, 4, ... values."""
+    out = mix(size.astype(U) * _C2)
+    at = start.copy()
+    for width, level in _doubled(values, int(size.max(initial=0))):
+        rows = np.flatnonzero(size & width)
+        out[rows] = mix(out[rows] * _P + level[at[rows]])
+        at[rows] += width
+    return out
 
 
 def text_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,20 +135,24 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        return _spans(_BYTE[self.raw], self.start, self.end)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return slice_hashes(self.raw, self.start, self.end, seed)
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.at) - 1), self.counts)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each ``k`` consecutive entries, whichever text they are in."""
+    """Hash of each ``k`` consecutive entries, whichever text they are in; as :func:`span_hashes` has it."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, U)
-    at = np.arange(n)
-    return _spans(words, at, at + k)
+    out, at = np.full(n, mix(np.array([k], U) * _C2)[0]), 0
+    for width, level in _doubled(words, k):
+        if k & width:
+            out = mix(out * _P + level[at : at + n])
+            at += width
+    return out
 
 
 def inside_mask(counts: np.ndarray, k: int) -> np.ndarray:
