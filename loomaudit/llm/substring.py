@@ -105,24 +105,6 @@ def _packed(k: int, m: int, seed: int, bits: int):
     return run
 
 
-def _filter(packed: DataFrame, least: int, filter_bytes: int, seg_bits: int) -> np.ndarray:
-    """Words of a Bloom filter of the packed hashes met at least so often; of fixed size."""
-    part = filter_bytes // 8 >> seg_bits
-
-    def build(seg: int, table: pa.Table) -> pa.Table:
-        values, counts = segments.merge(table)
-        bits = np.zeros(part, ts.U)
-        for at in segments.bloom_places(filter_bytes * 8, seg_bits, values[counts >= least], 3):
-            at = at - seg * part * 64
-            np.bitwise_or.at(bits, at >> 6, ts.U(1) << (at & 63).astype(ts.U))
-        return pa.table({"seg": pa.array([seg], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    out = np.zeros(filter_bytes // 8, ts.U)
-    for row in segments.by_segment(packed, build, "seg int, bits binary").toLocalIterator():
-        out[row.seg * part : (row.seg + 1) * part] = np.frombuffer(row.bits, ts.U)
-    return out
-
-
 def _place(doc_key: np.ndarray, mini: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Hash of a piece's place, for the filter of first occurrences."""
     return ts.mix(doc_key ^ ts.mix(mini ^ ts.mix(start.astype(ts.U))))
@@ -313,12 +295,10 @@ def remove_repeats(
     kind = docs.schema[id_col].dataType.simpleString()
     more = [F.struct(*(F.col(c) for c in carry)).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), *more)
-    text_bytes, n, kinds = rows.agg(F.sum(F.octet_length("t")), F.count("*"), F.count_distinct("id")).first()
-    told = F.xxhash64("t") if n != kinds else F.lit(0).cast("bigint")
-    rows = rows.select("id", told.alias("th"), "t", *(["row"] if carry else []))
-    seg_bits = segments.segment_bits(text_bytes or 0)
+    rows, text_bytes = common.told_apart(rows)
+    seg_bits = segments.segment_bits(text_bytes)
     send = spark.sparkContext.broadcast
-    known = send(_filter(rows.select("t").mapInArrow(_packed(k, m, seed, seg_bits), segments.SCHEMA), 2, filter_bytes, seg_bits))
+    known = send(segments.bloom_filter(rows.select("t").mapInArrow(_packed(k, m, seed, seg_bits), segments.SCHEMA), 2, filter_bytes, seg_bits))
 
     since = len(common.written(spark))
     occ = rows.select("id", "th", "t").mapInArrow(_occurrences(k, m, seed, known, seg_bits), f"mini bigint, whole bigint, id {kind}, th bigint, at int, n int, twice boolean")
@@ -331,7 +311,7 @@ def remove_repeats(
 
     head = common.fresh_join(path.select("mini", "first"), branch, ["mini"]).select("mini", "first.id", "first.th", "first.at")
     head = head.select(F.xxhash64("id", "th").alias("key"), "mini", F.col("at").cast("bigint").alias("start"))
-    heads = send(_filter(head.mapInArrow(_pack_places(seg_bits), segments.SCHEMA), 1, filter_bytes, seg_bits))
+    heads = send(segments.bloom_filter(head.mapInArrow(_pack_places(seg_bits), segments.SCHEMA), 1, filter_bytes, seg_bits))
     keyed = rows.select("id", "th", F.xxhash64("id", "th").alias("key"), "t")
     edges = keyed.mapInArrow(_edges(k, m, seed, known, heads, seg_bits), f"mini bigint, edge bigint, id {kind}, th bigint, at int")
     edges = common.materialise(edges, "edges")
