@@ -102,34 +102,44 @@ class Golay:
         return np.concatenate(rows), np.concatenate(found)
 
 
-def _fingerprints(raw: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    words = ts.Words(raw, at)
+def shingle_hashes(words: ts.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all shingles of ``k`` lower-cased words, text by text, and how many each text has."""
     n = words.counts
     buf, start, end = ts.single_spaced(words, lower=True)
     grams = np.maximum(n - k + 1, np.minimum(n, 1))
     doc = np.repeat(np.arange(len(n)), grams)
+    if not len(doc):
+        return np.zeros(0, ts.U), grams
     first = words.first[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(grams) - grams, grams)
     last = np.minimum(first + k, words.first[1:][doc]) - 1
-    hashes = ts.xxh64(buf, start[first], end[last] - start[first]) if len(doc) else np.zeros(0, ts.U)
-    out = np.zeros(len(n), ts.U)
-    if not len(hashes):
+    return ts.xxh64(buf, start[first], end[last] - start[first]), grams
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each of consecutive runs of hashes, the word of the bits that more than half of them have.
+
+    Eight passes, each summing eight bits in lanes of eight; pieces stay below 256 hashes.
+    """
+    out, step = np.zeros(len(counts), ts.U), 255
+    full = np.flatnonzero(counts)
+    if not len(full):
         return out
-    # 16 passes, each summing four bits in 16-bit lanes; runs stay below 65,536 shingles
-    step = 60_000
-    lo = np.cumsum(grams) - grams
-    full = np.flatnonzero(grams)
-    pieces = [np.arange(lo[d], lo[d] + grams[d], step) for d in full[grams[full] > step]]
-    cuts = np.unique(np.concatenate([lo[full], *pieces])) if pieces else lo[full]
-    owner = doc[cuts]
-    lane = ts.U(0x0001000100010001)
-    for b in range(16):
+    pieces = -(-counts[full] // step)
+    owner = np.repeat(full, pieces)
+    cuts = np.repeat((np.cumsum(counts) - counts)[full], pieces) + step * (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    lane = ts.U(0x0101010101010101)
+    for b in range(8):
         sums = np.add.reduceat((hashes >> ts.U(b)) & lane, cuts)
-        for j in range(4):
-            total = np.bincount(owner, (sums >> ts.U(16 * j) & ts.U(0xFFFF)).astype(float), len(n))
-            out |= (total > grams / 2).astype(ts.U) << ts.U(b + 16 * j)
+        for j in range(8):
+            total = np.bincount(owner, (sums >> ts.U(8 * j) & ts.U(0xFF)).astype(float), len(counts))
+            out |= (total > counts / 2).astype(ts.U) << ts.U(b + 8 * j)
     return out
 
 
+def _fingerprints(raw: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    return majority(*shingle_hashes(ts.Words(raw, at), k))
+
+
 def fingerprint(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, fp`` (a signed 64-bit number) of each row's text."""
 
