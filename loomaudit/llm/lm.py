@@ -1,31 +1,44 @@
-"""Scoring by a bigram model whose counts live in a log-frequency Bloom filter.
-
-After Talbot and Osborne (2007): a bigram counted ``c`` times has the quantised
-count ``q = 1 + floor(2 log2 c)``, and the filter holds the bigram with each of
-1 .. q.  A look-up probes 1, 2, ... until a probe fails; the last success is the
-quantised count.  It is never too low, and too high by one with the probability of
-a false positive.  The probability of a token ``w`` after ``h`` is
-
-    weight * 2 ** ((q - 1) / 2) / c(h) + (1 - weight) * P(w)
-
-with ``P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))``; where ``h`` was never seen it is
-``P(w)``.  Counts of single tokens are exact.  As the quantised count is rounded
-down, the probabilities after a context sum to one at most, false positives aside.
-
-Counting: tasks pack sorted runs of 64-bit hashes, dealt by leading bits into
-segments that grow in number with the text; each segment builds its own part of the
-filter, sized by its own bigrams.  The model is a table in the shared folder.  It is
-broadcast in groups of at most ``group_bytes``: if it is larger than that, the texts
-pass once for each group, and each pass fills in what its group knows.
+"""Scoring by an n-gram model whose counts live in a log-frequency Bloom filter.
+
+After Talbot and Osborne (2007): an n-gram counted ``c`` times has a quantised count
+``q``, the number of levels 1, 2, 3, 4, 6, 8, 12, 16, ... that ``c`` reaches, and the filter
+holds it with each of 1 .. q.  A look-up probes 1, 2, ... until a probe fails; the last
+success is the quantised count.  The first level takes ``words`` words of 64 bits with
+eight bits each, the levels above one word, and the filter has ``density`` times as many
+bits as are set, so an n-gram that was never counted passes the first level with a
+probability of about ``2 ** (-7 * words)``; the actual rate ``f`` is measured on each part.
+
+*The score is a probability.*  With ``c(h)`` the count of the context, the probability of
+``w`` after ``h`` is
+
+    l * count / (c(h) + guard) + (1 - l) * P(w, shorter context),  l = weight * c(h) / (c(h) + 1)
+
+where ``P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))`` for single tokens, whose counts are exact.
+``count`` is the lower end of the level reached, zero if ``w`` or ``h`` was never counted, and
+never above the counts of ``w``, of ``h`` and of the shorter n-gram.  ``guard`` bounds the
+false positives that a context can have: their number over the whole vocabulary is Poisson
+with mean ``f V`` (for longer contexts: ``f`` times the followers of the shorter context),
+and the guard is its quantile at one in a million.  So the counts after a context sum to
+``c(h) + guard`` at most, and the probabilities to one at most, for all contexts but one in
+a million.
+
+Counting: tasks pack sorted runs of 64-bit hashes, dealt by leading bits into segments
+that grow in number with the text; each segment builds its own part of the model.  The
+model is a table in the shared folder and is broadcast in groups of at most
+``group_bytes``: if it is larger than that, the texts pass once for each group, and each
+pass fills in what its group knows, one byte a token and order (and the exact counts,
+if single tokens need more than one group).
 
 Defined cases: a null text is empty; every text ends with one end token, which also
 is the context of the first word; a null id is never held out; repeated rows are
-counted and scored each; without training texts every score is zero; an empty table
-gives an empty result; other columns are ignored.
+counted and scored each; a long text is one run of words and needs its task's memory
+about a hundred times; without training texts every score is zero; an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,57 +50,91 @@ from . import common, segments
 from . import textscan as ts
 
 END = ts.mix(np.array([0x656E64], ts.U))[0]
-PROBES = 4
+#: 1, 2, 3, 4, 6, 8, 12, 16, ...: the counts at which a level begins.
+LEVELS = np.array(sorted({1} | {x << k for k in range(61) for x in (2, 3)}), np.int64)
+_BITS = 8  # set in a word for each probe
+_RARE = 1e-6
+
+
+def _masks() -> np.ndarray:
+    """4096 words with eight bits set, by a fixed rule."""
+    order = np.argsort(ts.mix(np.arange(4096 * 64, dtype=ts.U)).reshape(4096, 64), 1)[:, :_BITS]
+    return np.bitwise_or.reduce(ts.U(1) << order.astype(ts.U), 1)
+
 
+MASKS = _masks()
 
-def _tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens and of the bigrams that end in them, and tokens of each text."""
+
+def _tokens(raw: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Hashes of all tokens, for 2 .. order those of the n-grams that end in them, and tokens of each text.
+
+    The context of a first word is the end token; n-grams that would reach further back are zero.
+    """
     words = ts.Words(ts.LOWER[raw], at)
     counts = words.counts
     out = np.full(len(words) + len(counts), END)
     out[np.arange(len(words)) + words.doc()] = words.hashes()
-    before = np.empty_like(out)
-    before[:1], before[1:] = END, out[:-1]
-    return out, ts.mix(ts.mix(before ^ ts._GOLD) ^ out), counts + 1
+    size = counts + 1
+    place = np.arange(len(out)) - np.repeat(np.cumsum(size) - size, size)
+    before = np.where(place > 0, np.roll(out, 1), END)
+    grams = [ts.mix(ts.mix(before ^ ts._GOLD) ^ out)]
+    for m in range(3, order + 1):
+        longer = ts.mix(ts.mix(np.roll(grams[-1], 1) + ts.U(m) * ts._C2) ^ out)
+        grams.append(np.where(place >= m - 2, longer, ts.U(0)))
+    return out, grams, size
 
 
-def _count(bits: int):
-    """Packed runs; the segments of bigrams follow those of tokens."""
+def _count(bits: int, order: int):
+    """Packed runs; the segments of n-grams follow those of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, twos = segments.Packer(bits), segments.Packer(bits)
+        ones, more = segments.Packer(bits, 1 << 20), segments.Packer(bits, 1 << 20)
         shift = lambda made: (b.set_column(0, "seg", pa.array(b.column(0).to_numpy() + (1 << bits))) for b in made)
         for batch in batches:
             for _, raw, at in ts.chunks(batch, "t"):
-                tokens, pairs, _ = _tokens(raw, at)
+                tokens, grams, _ = _tokens(raw, at, order)
                 yield from ones.add(tokens)
-                yield from shift(twos.add(pairs))
+                for g in grams:
+                    yield from shift(more.add(g[g != 0]))
         yield from ones.flush()
-        yield from shift(twos.flush())
+        yield from shift(more.flush())
 
     return run
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(2 * np.log2(counts) + 1e-9).astype(np.int64)
+    """The number of levels that each count reaches."""
+    return np.searchsorted(LEVELS, counts, "right")
+
 
+def _places(hashes: np.ndarray, level: int, size, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word and mask of each probe of an n-gram at a level, in a part of ``size`` words."""
+    x = ts.mix(hashes + ts.U(level * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+    for _ in range(words if level == 1 else 1):
+        yield (x % np.asarray(size).astype(ts.U)).astype(np.int64), MASKS[(x >> ts.U(52)).astype(np.int64)]
+        x = ts.mix(x)
 
-def _part(bits: int, bits_per_item: int):
-    """One segment's part of the model: exact counts of tokens, or a filter of bigrams."""
+
+def _part(bits: int, words: int, density: float):
+    """One segment's part of the model: exact counts of tokens, or a filter of n-grams."""
 
     def run(seg: int, table: pa.Table) -> pa.Table:
         values, counts = segments.merge(table)
-        total, distinct = int(counts.sum()), len(values)
+        total, distinct, passed = int(counts.sum()), len(values), 0.0
         if seg < 1 << bits:
             kind = np.uint32 if counts.max() < 1 << 32 else np.uint64
             one, two = values.tobytes(), counts.astype(kind).tobytes()
         else:
             q = quantise(counts)
-            words = np.zeros(-(-int(q.sum()) * bits_per_item // 64), ts.U)
+            probes = words * len(q) + int((q - 1).sum())
+            made = np.zeros(max(1, math.ceil(probes * _BITS * density / 64)), ts.U)
             for level in range(1, int(q.max()) + 1):
-                for at in _places(values[q >= level], level, np.int64(len(words) * 64)):
-                    np.bitwise_or.at(words, at >> 6, ts.U(1) << (at & 63).astype(ts.U))
-            one, two = words.tobytes(), b""
+                for at, mask in _places(values[q >= level], level, np.int64(len(made)), words):
+                    np.bitwise_or.at(made, at, mask)
+            sample = np.arange(1, 1 << 15, dtype=ts.U)
+            at, mask = next(_places(sample, 0, np.int64(len(made)), words))
+            passed = float(((made[at] & mask) == mask).mean()) ** words
+            one, two = made.tobytes(), b""
         return pa.table(
             {
                 "seg": pa.array([seg], pa.int32()),
@@ -95,21 +142,13 @@ def _part(bits: int, bits_per_item: int):
                 "two": pa.array([two], pa.binary()),
                 "total": pa.array([total]),
                 "distinct": pa.array([distinct]),
+                "passed": pa.array([passed]),
             }
         )
 
     return run
 
 
-def _places(hashes: np.ndarray, level: int, size) -> Iterator[np.ndarray]:
-    """Bits of each bigram with a quantised count, in a filter of ``size`` bits."""
-    with np.errstate(over="ignore"):
-        x = ts.mix(hashes + ts.U(level) * ts._C1)
-        step = ts.mix(x) | ts.U(1)
-        for i in range(PROBES):
-            yield ((x + ts.U(i) * step) % np.asarray(size).astype(ts.U)).astype(np.int64)
-
-
 def _load(rows: list, bits: int) -> dict:
     """Look-up arrays of a group of segments; segments that are elsewhere have size zero."""
     n = 1 << bits
@@ -139,28 +178,78 @@ def _exact(model: dict, hashes: np.ndarray) -> np.ndarray:
     return np.where(known[at] == distinct, model["counts"][at], 0).astype(np.int64)[back]
 
 
-def _quantised(model: dict, hashes: np.ndarray, bits: int) -> np.ndarray:
+def _quantised(model: dict, hashes: np.ndarray, bits: int, words: int) -> np.ndarray:
     """The last level whose probes all succeed."""
     seg = (hashes >> ts.U(64 - bits)).astype(np.int64)
-    out = np.zeros(len(hashes), np.int64)
-    live, level = np.flatnonzero(model["size"][seg] > 0), 1
+    out = np.zeros(len(hashes), np.uint8)
+    live, level = np.flatnonzero((model["size"][seg] > 0) & (hashes != 0)), 1
     while len(live):
-        own = seg[live]
-        ok = np.ones(len(own), bool)
-        for at in _places(hashes[live], level, model["size"][own] * 64):
-            ok &= (model["words"][model["base"][own] + (at >> 6)] >> (at & 63).astype(ts.U) & ts.U(1)).astype(bool)
-        live = live[ok]
+        own, rest = seg[live], np.arange(len(live))
+        for at, mask in _places(hashes[live], level, model["size"][own], words):
+            rest = rest[(model["words"][model["base"][own[rest]] + at[rest]] & mask[rest]) == mask[rest]]
+        live = live[rest]
         out[live] = level
         level += 1
     return out
 
 
+def guard(mean: np.ndarray) -> np.ndarray:
+    """The number that a Poisson variable exceeds with a probability of one in a million at most."""
+    mean = np.asarray(mean, float)
+    return np.where(mean > _MEANS[-1], np.ceil(mean + 6 * np.sqrt(np.maximum(mean, 0)) + 6), np.searchsorted(_MEANS, mean, "left"))
+
+
+def _poisson_means(most: int = 40) -> np.ndarray:
+    """For 0, 1, ...: the largest mean of a Poisson variable that seldom exceeds the number."""
+
+    def beyond(mean: float, b: int) -> float:
+        return sum(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(b + 1, b + 60))
+
+    out = []
+    for b in range(most):
+        low, high = 0.0, 60.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if beyond(mid, b) <= _RARE else (low, mid)
+        out.append(low)
+    return np.array(out)
+
+
+_MEANS = _poisson_means()
+
+
+def probabilities(c: np.ndarray, qs: list[np.ndarray], size: np.ndarray, n_train: int, n_kinds: int, passed: float, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each token by itself, and by the model; see the module's text."""
+    first = np.cumsum(size) - size
+    place = np.arange(len(c)) - np.repeat(first, size)
+    base = (c + 0.5) / (n_train + 0.5 * (n_kinds + 1))
+    context = np.roll(c, 1)
+    context[first] = c[first + size - 1]  # every text ends with the end token
+    context, extra = context.astype(float), guard(np.array([passed * n_kinds]))[0]
+    extra = np.full(len(c), extra)
+    count, out = c.astype(float), base
+    for m, q in enumerate(qs, 2):
+        if m > 2:
+            followers = context + extra
+            reached = np.where(place >= m - 2, np.roll(qs[m - 3], 1) * np.roll(count > 0, 1), 0).astype(np.int64)
+            context = np.where(reached > 0, LEVELS[reached] - 1, 0).astype(float)  # the upper end of the level
+            extra = guard(passed * followers)
+        lower = LEVELS[np.maximum(q, 1).astype(np.int64) - 1].astype(float)
+        count = np.where((q > 0) & (count > 0) & (context > 0), np.minimum(np.minimum(lower, count), context), 0.0)
+        share = weight * context / (context + 1)
+        out = share * count / np.maximum(context + extra, 1) + (1 - share) * out
+    return base, out
+
+
 def score_texts(
     docs: DataFrame,
     train: Column,
-    weight: float = 0.4,
-    bits_per_item: int = 8,
-    group_bytes: int = 256 << 20,
+    order: int = 2,
+    weight: float = 0.8,
+    words: int = 3,
+    density: float = 1.44,
+    group_bytes: int = 160 << 20,
+    per_token: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -168,80 +257,94 @@ def score_texts(
 
     ``train`` tells which rows the model learns from (null: all it is not false for).
     Scores are log10 probabilities: ``base_score`` of single tokens, ``score`` of the
-    bigram model.
+    n-gram model; with ``per_token`` an array ``logs`` holds the latter token by token.
     """
+    if order < 2:
+        raise ValueError("the order of the model is two at least")
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(True)).alias("trained"), text.alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     bits = segments.segment_bits(size)
-    packed = rows.filter("trained").select("t").mapInArrow(_count(bits), segments.SCHEMA)
-    schema = "seg int, one binary, two binary, total bigint, distinct bigint"
-    model = common.materialise(segments.by_segment(packed, _part(bits, bits_per_item), schema), "model")
-    sized = model.select("seg", "total", "distinct", (F.length("one") + F.length("two")).alias("bytes"))
+    packed = rows.filter("trained").select("t").mapInArrow(_count(bits, order), segments.SCHEMA)
+    schema = "seg int, one binary, two binary, total bigint, distinct bigint, passed double"
+    model = common.materialise(segments.by_segment(packed, _part(bits, words, density), schema), "model")
+    sized = list(model.select("seg", "total", "distinct", "passed", (F.length("one") + F.length("two")).alias("bytes")).orderBy(F.desc("seg")).toLocalIterator())  # one row a segment
+    tokens = [r for r in sized if r.seg < 1 << bits]
+    n_train, n_kinds = sum(r.total for r in tokens), sum(r.distinct for r in tokens)
+    passed = sum(r.passed for r in sized) / (1 << bits)  # an n-gram that was never counted meets any part
+    whole = sum(r.bytes for r in sized)
+    limit = whole / max(1, -(-whole // group_bytes))  # groups of like size, tokens last
     groups, held = [[]], 0
-    n_train = n_kinds = 0
-    for r in sized.orderBy("seg").toLocalIterator():  # one row a segment
-        if held and held + r.bytes > group_bytes:
+    for r in sized:
+        if groups[-1] and held + r.bytes / 2 > limit * len(groups):
             groups.append([])
-            held = 0
         groups[-1].append(r.seg)
         held += r.bytes
-        if r.seg < 1 << bits:
-            n_train += r.total
-            n_kinds += r.distinct
 
     state = rows.withColumns({"c": F.lit(None).cast("binary"), "q": F.lit(None).cast("binary")})
+    before = None
     for i, group in enumerate(groups):
-        part = [r for r in model.filter(F.col("seg").isin(group)).toLocalIterator()] if group else []
+        part = list(model.filter(F.col("seg").isin(group)).toLocalIterator()) if group else []
+        exact = any(r.seg < 1 << bits for r in part)
         sent = spark.sparkContext.broadcast(_load(part, bits))
+        del part
         if i + 1 < len(groups):
-            filled = state.mapInArrow(_fill(sent, bits), f"id {kind}, trained boolean, t string, c binary, q binary")
+            filled = state.mapInArrow(_fill(sent, bits, words, order, exact), f"id {kind}, trained boolean, t string, c binary, q binary")
             state = common.materialise(filled, "filled")
-    run = _score(sent, bits, weight, n_train, n_kinds)
-    return state.mapInArrow(run, f"id {kind}, trained boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-
-
-def _known(part: pa.RecordBatch, raw: np.ndarray, at: np.ndarray, model: dict, bits: int):
-    """Counts of the tokens and quantised counts of the bigrams, of this and earlier groups."""
-    tokens, pairs, sizes = _tokens(raw, at)
-    c, q = _exact(model, tokens), _quantised(model, pairs, bits)
+            sent.destroy()
+            if before:
+                common.release(spark, [before])
+            before = common.written(spark)[-1]
+    run = _score(sent, bits, words, order, weight, n_train, n_kinds, passed, per_token)
+    schema = f"id {kind}, trained boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return state.mapInArrow(run, schema + (", logs array<double>" if per_token else ""))
+
+
+def _known(part: pa.RecordBatch, raw: np.ndarray, at: np.ndarray, model: dict, bits: int, words: int, order: int):
+    """Counts of the tokens and levels of the n-grams, of this and earlier groups."""
+    tokens, grams, sizes = _tokens(raw, at, order)
+    c, qs = _exact(model, tokens), [_quantised(model, g, bits, words) for g in grams]
     if part.column(3).null_count == 0:
         c = c + np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64)
-        q = q + np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8)
-    return c, q, sizes
+    if part.column(4).null_count == 0:
+        earlier = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8).reshape(-1, order - 1)
+        qs = [q + earlier[:, k] for k, q in enumerate(qs)]
+    return c, qs, sizes
+
 
+def _fill(sent, bits: int, words: int, order: int, exact: bool):
+    """Texts with what this group knows of their tokens; counts are kept once a group has any."""
 
-def _fill(sent, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, at in ts.chunks(batch, "t"):
-                c, q, sizes = _known(part, raw, at, sent.value, bits)
+                c, qs, sizes = _known(part, raw, at, sent.value, bits, words, order)
                 cut = np.cumsum(sizes)[:-1]
-                cs = [x.tobytes() for x in np.split(c, cut)]
-                qs = [x.astype(np.uint8).tobytes() for x in np.split(q, cut)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(cs, pa.binary()), pa.array(qs, pa.binary())], ["id", "trained", "t", "c", "q"])
+                keep = exact or part.column(3).null_count == 0
+                cs = pa.array([x.tobytes() for x in np.split(c, cut)], pa.binary()) if keep else pa.nulls(part.num_rows, pa.binary())
+                ql = pa.array([x.tobytes() for x in np.split(np.stack(qs, 1), cut)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], cs, ql], ["id", "trained", "t", "c", "q"])
 
     return run
 
 
-def _score(sent, bits: int, weight: float, n_train: int, n_kinds: int):
+def _score(sent, bits: int, words: int, order: int, weight: float, n_train: int, n_kinds: int, passed: float, per_token: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, at in ts.chunks(batch, "t"):
-                c, q, sizes = _known(part, raw, at, sent.value, bits)
+                c, qs, sizes = _known(part, raw, at, sent.value, bits, words, order)
                 first = np.cumsum(sizes) - sizes
-                context = np.empty_like(c)
-                context[1:] = c[:-1]
-                context[first] = c[first + sizes - 1]  # every text ends with the end token
-                single = (c + 0.5) / (n_train + 0.5 * (n_kinds + 1))
-                seen = np.where(q > 0, 2.0 ** ((q - 1) / 2), 0.0)
-                mixed = np.where(context > 0, weight * np.minimum(seen / np.maximum(context, 1), 1.0) + (1 - weight) * single, single)
+                single, mixed = probabilities(c, qs, sizes, n_train, n_kinds, passed, weight)
+                logs = np.log10(mixed)
                 total = lambda x: np.add.reduceat(x, first)
                 arrays = [part.column(0), part.column(1), pa.array(sizes.astype(np.int64)), pa.array(total((c > 0).astype(np.int64)))]
-                arrays += [pa.array(np.full(len(sizes), n_train, np.int64)), pa.array(total(np.log10(single))), pa.array(total(np.log10(mixed)))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                arrays += [pa.array(np.full(len(sizes), n_train, np.int64)), pa.array(total(np.log10(single))), pa.array(total(logs))]
+                names = ["id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+                if per_token:
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(c)).astype(np.int32)), pa.array(logs)))
+                    names.append("logs")
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
-
