@@ -3,26 +3,32 @@
 The text view sees words and the style of the text; the metadata view sees
 language, source and length.  Each is a logistic regression.  In every round both
 score all unlabelled documents, and each hands its most confident ones, with their
-predicted label, to the other's training set.  At last both are calibrated on
-labelled rows that were held out, their log-odds are added, the sum is calibrated
-again, and all documents are scored.
-
-Bounds, all parameters: at most ``most_labelled`` labelled rows are fitted on (those
-with the smallest hash of the id), at most ``per_round`` pseudo-labels a view, class
-and round are exchanged, and the vocabulary holds words of at least ``least`` of the
-labelled texts that tell the classes apart, ``most_words`` at most for each target.
-Everything else, candidate search for pseudo-labels included, covers all documents.
-
-Defined cases: a null text is empty; null metadata is a value of its own; several
-labels of one id count by their mean, a null label is none; labels of unknown ids are
-ignored; a target whose labels are all alike, or absent, gets its prior (one half
-without any) everywhere; repeated rows are scored each; an empty table gives an
-empty result; other columns are ignored.
+predicted label, to the other's training set; none goes twice, copies count once, and
+those on which the views disagree stay.  At last both are calibrated on labelled rows
+that were held out, their log-odds are added, the sum is calibrated again, and all
+documents are scored.
+
+Bounds, all parameters: at most ``most_labelled`` labelled ids are fitted on (those
+with the smallest hash), at most ``per_round`` pseudo-labels a view, class and round are
+exchanged, and the vocabulary holds words of at least ``least`` labelled texts that tell
+the classes apart by ``z`` standard errors or more, ``most_words`` at most for each target.
+They bound what reaches the driver and what is broadcast.  Everything else covers all
+documents; no labelled one is ever a candidate for a pseudo-label.
+
+Defined cases: a null text is empty; a long text is one run of words; null metadata is a
+value of its own; several labels of one id count by their mean (one half is one), a null
+label is none; of several documents with one labelled id the one with the smallest hash
+is learned from; labels of unknown ids are ignored; equally sure rows are taken by a hash
+of their features; a target whose labels are all alike, or absent, gets its prior (one half
+without any) everywhere; repeated rows and rows without ids are scored each; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,28 +44,35 @@ _SYMBOLS[[ord(c) for c in "#$%&*|!<>{}[]=~^_@\\"]] = True
 _LEVELS = 12
 
 
+_HASH = 40  # bits of a word's hash that name a feature
+
+
 def _text_features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct feature hashes of each text, and where each text's begin."""
+    """Distinct features of each text (words, and four levels of style), and where each text's begin."""
     n = len(at) - 1
     words = ts.Words(ts.LOWER[raw], at, ts.NON_WORD)
-    hashes, doc = words.hashes(), words.doc()
     size = np.maximum(np.diff(at), 1)
     total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[at])
     upper = total((raw >= 65) & (raw <= 90)) / size
     symbol = total(_SYMBOLS[raw]) / size
-    order = np.lexsort((hashes, doc))
-    h, d = hashes[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    distinct = np.bincount(d[new], minlength=n)
-    variety = distinct / np.maximum(words.counts, 1)
+    key = np.sort(words.doc().astype(ts.U) << ts.U(_HASH) | words.hashes() >> ts.U(64 - _HASH))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    doc = (key >> ts.U(_HASH)).astype(np.int64)
+    variety = np.bincount(doc, minlength=n) / np.maximum(words.counts, 1)
     levels = [np.minimum((x * _LEVELS * scale).astype(np.int64), _LEVELS) for x, scale in ((upper, 2), (symbol, 4), (variety, 1))]
     levels.append(np.minimum(np.log2(words.counts + 1).astype(np.int64), 24))
-    style = np.concatenate([ts.mix((1000 * (k + 1) + x).astype(ts.U)) for k, x in enumerate(levels)])
-    h = np.concatenate([h[new], style])
-    d = np.concatenate([d[new], np.tile(np.arange(n), len(levels))])
-    order = np.argsort(d, kind="stable")
-    return h[order], np.searchsorted(d[order], np.arange(n + 1))
+    style = np.stack([ts.mix((1000 * (k + 1) + x).astype(ts.U)) >> ts.U(64 - _HASH) for k, x in enumerate(levels)], 1)
+    ends = np.searchsorted(doc, np.arange(n + 1))
+    first = ends + len(levels) * np.arange(n + 1)
+    out = np.empty(int(first[-1]), ts.U)
+    place = np.ones(len(out), bool)
+    slots = first[:-1, None] + np.arange(len(levels))
+    place[slots.ravel()] = False
+    out[slots.ravel()] = style.ravel()
+    out[place] = key & ts.U((1 << _HASH) - 1)
+    return out, first
 
 
 def _meta_features(lang: list, source: list, n_chars: list) -> list[list[str]]:
@@ -103,42 +116,27 @@ def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset that turn scores into log-odds, with Platt's smoothed targets."""
     pos, neg = float(y.sum()), float((1 - y).sum())
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = _sigmoid(a * score + b)
-        g = np.array([((p - target) * score).sum() + 1e-3 * (a - 1), (p - target).sum()])
+    at = np.array([1.0, 0.0])
+
+    def loss(x: np.ndarray) -> float:
+        z = x[0] * score + x[1]
+        return float((np.logaddexp(0, z) - target * z).sum() + 5e-4 * (x[0] - 1) ** 2)
+
+    for _ in range(50):  # Newton's method, each step halved until it helps
+        p = _sigmoid(at[0] * score + at[1])
+        g = np.array([((p - target) * score).sum() + 1e-3 * (at[0] - 1), (p - target).sum()])
         s = p * (1 - p) + 1e-9
         h = np.array([[(s * score**2).sum() + 1e-3, (s * score).sum()], [(s * score).sum(), s.sum()]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
+        step, now = np.linalg.solve(h + 1e-9 * np.eye(2), g), loss(at)
+        while np.abs(step).max() > 1e-9 and loss(at - step) > now:
+            step = step / 2
+        at = at - step
         if np.abs(step).max() < 1e-9:
             break
+    a, b = at.tolist()
     return max(a, 0.0), b
 
 
-def _vocabulary(features: list[np.ndarray], ys: list[np.ndarray], least: int, most: int) -> np.ndarray:
-    """Features that tell the classes of any target apart by their smoothed log-odds."""
-    flat, counts = np.unique(np.concatenate([*features, np.zeros(0, ts.U)]), return_counts=True)
-    keep = [np.zeros(0, ts.U)]
-    for y in ys:
-        has = [f for f, v in zip(features, y) if v == 1]
-        n1, n0 = len(has), int((y == 0).sum())
-        if not n1 or not n0:
-            continue
-        x, c = np.unique(np.concatenate([*has, np.zeros(0, ts.U)]), return_counts=True)
-        one = np.zeros(len(flat))
-        one[np.searchsorted(flat, x)] = c
-        zero = np.unique(np.concatenate([*[f for f, v in zip(features, y) if v == 0], np.zeros(0, ts.U)]), return_counts=True)
-        two = np.zeros(len(flat))
-        two[np.searchsorted(flat, zero[0])] = zero[1]
-        odds = np.log((one + 0.5) / (n1 - one + 0.5)) - np.log((two + 0.5) / (n0 - two + 0.5))
-        z = np.abs(odds) / np.sqrt(1 / (one + 0.5) + 1 / (two + 0.5))
-        z[counts < least] = 0
-        best = np.argsort(-z, kind="stable")[:most]
-        keep.append(flat[best[z[best] > 3.0]])
-    return np.unique(np.concatenate(keep))
-
-
 def _lookup(vocabulary: np.ndarray, h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     if not len(vocabulary):
         return [np.zeros(0, np.int64)] * (len(first) - 1)
@@ -151,158 +149,251 @@ def _lookup(vocabulary: np.ndarray, h: np.ndarray, first: np.ndarray) -> list[np
 class View:
     """One view's training rows and model for one target."""
 
-    def __init__(self, rows: list[np.ndarray], y: np.ndarray, width: int):
-        self.rows, self.y, self.width = list(rows), list(y), width
-        self.slope, self.offset = 1.0, 0.0
+    def __init__(self, rows: list[np.ndarray], y: np.ndarray, width: int, held: tuple[list[np.ndarray], np.ndarray]):
+        self.rows, self.y, self.width, self.held = list(rows), list(y), width, held
 
-    def train(self, check_rows: list[np.ndarray], check_y: np.ndarray) -> View:
+    def train(self) -> View:
         self.model = Logistic(self.width).fit(self.rows, np.array(self.y, float))
-        self.slope, self.offset = platt(self.model.raw(check_rows), check_y)
+        self.slope, self.offset = platt(self.model.raw(self.held[0]), self.held[1])
         return self
 
     def odds(self, rows: list[np.ndarray]) -> np.ndarray:
         return self.slope * self.model.raw(rows) + self.offset
 
+    def numbers(self) -> tuple:
+        return self.model.w, self.model.b, self.slope, self.offset
+
+
+def _odds(numbers: tuple, rows: list[np.ndarray]) -> np.ndarray:
+    w, b, slope, offset = numbers
+    model = Logistic(len(w))
+    model.w, model.b = w, b
+    return slope * model.raw(rows) + offset
+
 
 _META = "lang string, source string, n_chars bigint"
+_NAMES = [c.split()[0] for c in _META.split(", ")]
+
+
+@dataclass
+class Fitted:
+    """Features and models of :func:`fit`; bounded by its parameters, whatever the input."""
+
+    targets: tuple[str, ...]
+    words: np.ndarray
+    columns: dict[str, int]
+    prior: dict[str, float]
+    views: dict[str, tuple]  # target -> numbers of both views, and of the calibrated sum
+
+    def features(self, raw: np.ndarray, at: np.ndarray, meta: list[list]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        text = _lookup(self.words, *_text_features(raw, at))
+        return text, [np.array([self.columns[x] for x in r if x in self.columns], np.int32) for r in _meta_features(*meta)]
+
+    def probabilities(self, text: list[np.ndarray], meta: list[np.ndarray], views: tuple[int, ...] = (0, 1)) -> list[np.ndarray]:
+        """Of each target; of one view alone if asked."""
+        out = []
+        for t in self.targets:
+            if t not in self.views:
+                out.append(np.full(len(text), self.prior[t]))
+                continue
+            pair, base, (slope, offset) = self.views[t]
+            each = [_odds(pair[k], (text, meta)[k]) for k in views]
+            out.append(_sigmoid(slope * (sum(each) - base) + offset if len(views) > 1 else each[0]))
+        return out
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    meta = [F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _META.split(", "))]
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), *meta, *more)
+
+
+def _vocabulary(labelled: DataFrame, targets: tuple[str, ...], least: int, most: int, z: float) -> np.ndarray:
+    """Features that tell the classes of any target apart by their smoothed log-odds.
+
+    Counted in Spark; ``most`` a target reach the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, at in ts.chunks(batch, "t"):
+                h, first = _text_features(raw, at)
+                owner = np.repeat(np.arange(part.num_rows), np.diff(first))
+                values, back = np.unique(h, return_inverse=True)
+                sums = []
+                for k in range(len(targets)):
+                    y = part.column(1 + k).to_numpy(zero_copy_only=False).astype(float)[owner]
+                    sums += [np.bincount(back, y == v, len(values)).astype(np.int64) for v in (1.0, 0.0)]
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *map(pa.array, sums)], ["h", *(f"n{k}_{v}" for k in range(len(targets)) for v in (1, 0))])
+
+    names = [f"n{k}_{v}" for k in range(len(targets)) for v in (1, 0)]
+    made = labelled.select("t", *(f"y_{t}" for t in targets)).mapInArrow(count, "h bigint, " + ", ".join(f"{c} bigint" for c in names))
+    counted = common.materialise(made.groupBy("h").agg(*(F.sum(c).alias(c) for c in names)), "words")
+    sizes = labelled.agg(*(F.count_if(F.col(f"y_{t}") == v) for t in targets for v in (1, 0))).first()
+    found = [np.zeros(0, ts.U)]
+    for k in range(len(targets)):
+        n1, n0 = sizes[2 * k], sizes[2 * k + 1]
+        if not n1 or not n0:
+            continue
+        one, two = F.col(f"n{k}_1"), F.col(f"n{k}_0")
+        odds = F.log((one + 0.5) / (F.lit(n1) - one + 0.5)) - F.log((two + 0.5) / (F.lit(n0) - two + 0.5))
+        strength = F.abs(odds) / F.sqrt(1 / (one + 0.5) + 1 / (two + 0.5))
+        seen = sum((F.col(c) for c in names[2 * k : 2 * k + 2]), F.lit(0))
+        best = counted.filter(seen >= least).select("h", strength.alias("z")).filter(F.col("z") > z).orderBy(F.desc("z"), "h").limit(most)
+        found.append(np.array([r.h for r in best.collect()], np.int64).view(ts.U))
+    return np.unique(np.concatenate(found))
 
 
-def co_train(
+def fit(
     docs: DataFrame,
     labels: DataFrame,
     targets: tuple[str, ...] = ("quality", "toxic"),
     rounds: int = 2,
     per_round: int = 200,
     confidence: float = 0.95,
-    most_labelled: int = 10_000,
+    most_labelled: int = 20_000,
     least: int = 5,
     most_words: int = 2_000,
+    z: float = 3.0,
     id_col: str = "doc_id",
     text_col: str = "text",
-) -> DataFrame:
-    """``id`` and the probability of each target for every document."""
+) -> tuple[Fitted, DataFrame]:
+    """The models, and the features ``id, a, b`` of all documents as written."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    meta = [F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _META.split(", "))]
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), *meta)
-    marked = labels.select(F.col(id_col).alias("id"), *(F.col(t).cast("double").alias(f"y_{t}") for t in targets))
-    marked = marked.filter("id is not null").groupBy("id").agg(*(F.avg(f"y_{t}").alias(f"y_{t}") for t in targets))
+    rows = _rows(docs, id_col, text_col)
+    marked = labels.select(F.col(id_col).alias("id"), *(F.col(t).cast("double").alias(f"y_{t}") for t in targets)).filter("id is not null")
+    # a mean of one half counts as one
+    marked = marked.groupBy("id").agg(*((F.avg(f"y_{t}") >= 0.5).cast("double").alias(f"y_{t}") for t in targets))
     sample = marked.orderBy(F.xxhash64("id"), "id").limit(most_labelled)
+    one = F.min_by(F.struct("t", *_NAMES), F.struct(F.xxhash64("t", *_NAMES), "t")).alias("x")  # of rows with one id
+    labelled = rows.join(F.broadcast(sample), "id").groupBy("id").agg(one, *(F.max(f"y_{t}").alias(f"y_{t}") for t in targets))
+    labelled = common.materialise(labelled.select("id", "x.*", *(f"y_{t}" for t in targets)), "labelled")
+    words = _vocabulary(labelled, targets, least, most_words, z)
+
+    fitted = Fitted(targets, words, {}, {}, {})
+    shown = spark.sparkContext.broadcast(fitted)  # bounded by most_words
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, at in ts.chunks(batch, "t"):
-                h, first = _text_features(raw, at)
-                found = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.binary())], [*part.schema.names[:-1], "f"])
+                text = pa.array([x.astype(np.int32).tobytes() for x in _lookup(shown.value.words, *_text_features(raw, at))], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], text], [part.schema.names[0], *part.schema.names[2:], "f"])
 
     ys = ", ".join(f"y_{t} double" for t in targets)
-    labelled = rows.join(F.broadcast(sample), "id").select("id", *(c.split()[0] for c in _META.split(", ")), *(f"y_{t}" for t in targets), "t")
-    labelled = labelled.mapInArrow(learn, f"id {kind}, {_META}, {ys}, f binary").orderBy(F.xxhash64("id"), "id", "f").collect()
-    features = [np.frombuffer(r.f, ts.U) for r in labelled]
-    truth = {t: np.array([np.nan if r[f"y_{t}"] is None else float(r[f"y_{t}"] >= 0.5) for r in labelled]) for t in targets}
-    words = _vocabulary(features, list(truth.values()), least, most_words)
-    text_rows = [x for f in features for x in _lookup(words, f, np.array([0, len(f)]))]
-    names = _meta_features([r.lang for r in labelled], [r.source for r in labelled], [r.n_chars for r in labelled])
-    columns = {x: i for i, x in enumerate(sorted({x for r in names for x in r}))}
-    meta_rows = [np.array([columns[x] for x in r], np.int64) for r in names]
-
-    sent = spark.sparkContext.broadcast((words, columns))  # bounded by most_words and most_labelled
+    known = labelled.select("id", "t", *_NAMES, *(f"y_{t}" for t in targets)).mapInArrow(learn, f"id {kind}, {_META}, {ys}, f binary")
+    known = known.orderBy(F.xxhash64("id"), "id").collect()  # most_labelled rows of at most 8 * most_words * len(targets) bytes
+    truth = {t: np.array([np.nan if r[f"y_{t}"] is None else r[f"y_{t}"] for r in known]) for t in targets}
+    text_rows = [np.frombuffer(r.f, np.int32) for r in known]
+    names = _meta_features([r.lang for r in known], [r.source for r in known], [r.n_chars for r in known])
+    fitted.columns.update({x: i for i, x in enumerate(sorted({x for r in names for x in r}))})
+    meta_rows = [np.array([fitted.columns[x] for x in r], np.int32) for r in names]
+    sent = spark.sparkContext.broadcast(fitted)  # bounded by most_words and most_labelled
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, columns = sent.value
         for batch in batches:
             for part, raw, at in ts.chunks(batch, "t"):
-                text = [x.astype(np.int32).tobytes() for x in _lookup(words, *_text_features(raw, at))]
-                other = _meta_features(*(part.column(c).to_pylist() for c in (2, 3, 4)))
-                meta = [np.array([columns[x] for x in r if x in columns], np.int32).tobytes() for r in other]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.binary()), pa.array(meta, pa.binary())], ["id", "a", "b"])
+                found = sent.value.features(raw, at, [part.column(c).to_pylist() for c in (2, 3, 4)])
+                packed = [pa.array([x.astype(np.int32).tobytes() for x in f], pa.binary()) for f in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), *packed], ["id", "a", "b"])
 
     table = common.materialise(rows.mapInArrow(featurise, f"id {kind}, a binary, b binary"), "features")
-    spread = lambda column: [np.frombuffer(x, np.int32) for x in column.to_pylist()]
-
-    check = np.arange(len(labelled)) % 5 == 0  # held out for calibration
+    check = np.arange(len(known)) % 5 == 0  # held out for calibration
     views: dict[str, tuple[View, View]] = {}
-    prior = {}
     for t in targets:
-        known = ~np.isnan(truth[t])
-        y = truth[t][known]
-        prior[t] = float(y.mean()) if len(y) else 0.5
-        fit, held = np.flatnonzero(known & ~check), np.flatnonzero(known & check)
-        if len({*truth[t][fit]}) < 2 or len({*truth[t][held]}) < 2:
+        told = ~np.isnan(truth[t])
+        fitted.prior[t] = float(truth[t][told].mean()) if told.any() else 0.5
+        learned, held = np.flatnonzero(told & ~check), np.flatnonzero(told & check)
+        if len({*truth[t][learned]}) < 2 or len({*truth[t][held]}) < 2:
             continue
-        views[t] = tuple(View([r[i] for i in fit], truth[t][fit], n) for r, n in ((text_rows, len(words)), (meta_rows, len(columns))))
-        for view, r in zip(views[t], (text_rows, meta_rows)):
-            view.held = [r[i] for i in held], truth[t][held]
-            view.train(*view.held)
-
-    sample_ids = F.broadcast(sample.select("id"))  # at most most_labelled rows
-    free = table.join(sample_ids, "id", "left_anti") if views else table.limit(0)
-    free = common.materialise(free, "unlabelled") if views and rounds else free
-    bar = float(np.log(confidence / (1 - confidence)))
-    for _ in range(rounds if views else 0):
-        now = spark.sparkContext.broadcast({t: [(v.model.w, v.model.b, v.slope, v.offset) for v in pair] for t, pair in views.items()})
-
-        def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Each task's most confident rows by target, view and class."""
-            best: dict[tuple, list] = {}
-            for batch in batches:
-                cols = spread(batch.column(1)), spread(batch.column(2))
-                for t, pair in now.value.items():
-                    for k, (w, b, slope, offset) in enumerate(pair):
-                        model = Logistic(len(w))
-                        model.w, model.b = w, b
-                        odds = slope * model.raw(cols[k]) + offset
-                        for label in (0, 1):
-                            s = odds if label else -odds
-                            order = np.flatnonzero(s >= bar)
-                            tie = batch.column(3).to_numpy(zero_copy_only=False)
-                            order = order[np.lexsort((tie[order], -s[order]))][:per_round]
-                            mine = best.setdefault((t, k, label), [])
-                            mine += [(float(s[i]), int(tie[i]), cols[0][i].tobytes(), cols[1][i].tobytes()) for i in order]
-                            mine.sort(key=lambda x: (-x[0], x[1], x[2], x[3]))
-                            del mine[per_round:]
-            flat = [(t, k, label, *x) for (t, k, label), xs in best.items() for x in xs]
-            types = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary()]
-            if flat:
-                yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*flat), types)], ["target", "view", "label", "odds", "tie", "a", "b"])
-
-        found = free.withColumn("tie", F.xxhash64("id")).mapInArrow(sure, "target string, view int, label int, odds double, tie bigint, a binary, b binary")
-        found = common.materialise(found, "confident")
-        for t, pair in views.items():
-            for k in (0, 1):
-                for label in (0, 1):
-                    picked = found.filter((F.col("target") == t) & (F.col("view") == k) & (F.col("label") == label))
-                    for r in picked.orderBy(F.desc("odds"), "tie", "a", "b").limit(per_round).collect():
-                        other = pair[1 - k]
-                        other.rows.append(np.frombuffer(r.b if k == 0 else r.a, np.int32))
-                        other.y.append(float(label))
-        for pair in views.values():
-            for view in pair:
-                view.train(*view.held)
-
-    final = {}
+        sides = ((text_rows, len(words)), (meta_rows, len(fitted.columns)))
+        views[t] = tuple(View([r[i] for i in learned], truth[t][learned], n, ([r[i] for i in held], truth[t][held])).train() for r, n in sides)
+
+    if views and rounds:
+        free = table.join(marked.select("id"), "id", "left_anti").select("a", "b").distinct()  # copies count once
+        free = common.materialise(free.withColumn("tie", F.xxhash64("a", "b")), "unlabelled")
+        taken: dict[str, set] = {t: set() for t in views}
+        for _ in range(rounds):
+            handed = _exchange(free, views, taken, per_round, float(np.log(confidence / (1 - confidence))))
+            for t, pair in views.items():
+                for k, label, a, b in handed[t]:
+                    taken[t].add((a, b))
+                    pair[1 - k].rows.append(np.frombuffer(b if k == 0 else a, np.int32))
+                    pair[1 - k].y.append(float(label))
+                for view in pair if handed[t] else ():
+                    view.train()
+
     for t, pair in views.items():
-        base = np.log(prior[t] / (1 - prior[t]))
+        base = np.log(fitted.prior[t] / (1 - fitted.prior[t]))
         joint = sum(v.odds(v.held[0]) for v in pair) - base
-        final[t] = ([(v.model.w, v.model.b, v.slope, v.offset) for v in pair], base, platt(joint, pair[0].held[1]))
-    last = spark.sparkContext.broadcast(final)
+        fitted.views[t] = ([v.numbers() for v in pair], base, platt(joint, pair[0].held[1]))
+    return fitted, table
+
+
+def _exchange(free: DataFrame, views: dict, taken: dict, per_round: int, bar: float) -> dict[str, list]:
+    """For each target what either view is surest of: view, label, and both views' features.
+
+    No row is handed over twice for a target, and none on whose label the views disagree.
+    """
+    now = free.sparkSession.sparkContext.broadcast(({t: [v.numbers() for v in pair] for t, pair in views.items()}, taken))
+
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each task's most confident rows by target, view and class."""
+        best: dict[tuple, list] = {}
+        models, gone = now.value
+        for batch in batches:
+            packed = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            cols = [[np.frombuffer(x, np.int32) for x in c] for c in packed]
+            tie = batch.column(2).to_numpy(zero_copy_only=False)
+            for t, pair in models.items():
+                for k, numbers in enumerate(pair):
+                    odds = _odds(numbers, cols[k])
+                    for label in (0, 1):
+                        s = odds if label else -odds
+                        order = np.flatnonzero(s >= bar)
+                        order = order[np.lexsort((tie[order], -s[order]))]
+                        mine, room = best.setdefault((t, k, label), []), per_round
+                        for i in order.tolist():
+                            if room and (packed[0][i], packed[1][i]) not in gone[t]:
+                                mine.append((float(s[i]), int(tie[i]), packed[0][i], packed[1][i]))
+                                room -= 1
+                        mine.sort(key=lambda x: (-x[0], *x[1:]))
+                        del mine[per_round:]
+        flat = [(t, k, label, *x) for (t, k, label), xs in best.items() for x in xs]
+        types = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary()]
+        if flat:
+            yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*flat), types)], ["target", "view", "label", "odds", "tie", "a", "b"])
+
+    found = common.materialise(free.mapInArrow(sure, "target string, view int, label int, odds double, tie bigint, a binary, b binary"), "confident")
+    parts = [found.filter((F.col("target") == t) & (F.col("view") == k) & (F.col("label") == y)).orderBy(F.desc("odds"), "tie", "a", "b").limit(per_round) for t in views for k in (0, 1) for y in (0, 1)]
+    out: dict[str, dict] = {t: {} for t in views}
+    for r in reduce(DataFrame.unionByName, parts).collect():  # per_round rows a target, view and class
+        out[r.target].setdefault((bytes(r.a), bytes(r.b)), []).append((r.view, r.label))
+    return {t: [(k, y, a, b) for (a, b), said in found.items() if len({y for _, y in said}) == 1 for k, y in said] for t, found in out.items()}
+
+
+def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """``id`` and the probability of each target for every document; for the parameters see :func:`fit`."""
+    fitted, table = fit(docs, labels, id_col=id_col, text_col=text_col, **more)
+    sent = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = spread(batch.column(1)), spread(batch.column(2))
-            out = []
-            for t in targets:
-                if t not in last.value:
-                    out.append(pa.array(np.full(batch.num_rows, prior[t])))
-                    continue
-                pair, base, (slope, offset) = last.value[t]
-                odds = -base
-                for k, (w, b, a, o) in enumerate(pair):
-                    model = Logistic(len(w))
-                    model.w, model.b = w, b
-                    odds = odds + a * model.raw(cols[k]) + o
-                out.append(pa.array(_sigmoid(slope * odds + offset)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["id", *targets])
-
-    return table.mapInArrow(score, f"id {kind}, " + ", ".join(f"{t} double" for t in targets))
+            cols = [[np.frombuffer(x, np.int32) for x in c.to_pylist()] for c in batch.columns[1:3]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sent.value.probabilities(*cols))], ["id", *sent.value.targets])
+
+    return table.mapInArrow(score, f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{t} double" for t in fitted.targets))
+
+
+def classify(docs: DataFrame, fitted: Fitted, views: tuple[int, ...] = (0, 1), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` as a struct ``row``, and the probability of each target: one pass, no shuffle, no ids needed."""
+    rows = _rows(docs, id_col, text_col, F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
+    sent = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, at in ts.chunks(batch, "t"):
+                found = sent.value.features(raw, at, [part.column(c).to_pylist() for c in (1, 2, 3)])
+                yield pa.RecordBatch.from_arrays([part.column(4), *map(pa.array, sent.value.probabilities(*found, views))], ["row", *sent.value.targets])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.select("t", *_NAMES, "row").mapInArrow(score, f"row {kind}, " + ", ".join(f"{t} double" for t in fitted.targets))
