@@ -55,11 +55,44 @@ def _classes() -> np.ndarray:
     return out
 
 
+class _Generation:
+    """Pre-tokens met lately, with their ids end to end."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.ids, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def find(self, texts: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, texts, itertools.repeat(-1)), np.int64, len(texts))
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these rows end to end, and how many each has."""
+        size = self.begin[rows + 1] - self.begin[rows]
+        return self.ids[_ranges(self.begin[rows], size)], size
+
+    def add(self, texts: list[bytes], ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        rows = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(texts))
+        self.known.update(zip(texts, rows.tolist()))
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(size))
+        self.ids = np.append(self.ids, ids)
+        return rows
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, end to end."""
+    total = np.cumsum(size)
+    return np.repeat(start - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)
+
+
 class Tokens:
-    """Ids of many texts at once, with a bounded cache of pre-tokens that lives as long as a task."""
+    """Ids of many texts at once.
+
+    Pre-tokens are kept in two generations of bounded size that live as long as a task:
+    when the younger is full it becomes the elder, and what is met again moves on.
+    """
 
     _by_file: dict[str, Tokens] = {}
-    MOST = 200_000
+    MOST = 300_000
 
     def __init__(self, file: str):
         import os
@@ -70,6 +103,7 @@ class Tokens:
         self.model = Tokenizer.from_file(file)
         self.model.encode_special_tokens = True
         self.classes = _classes()
+        self.line_feed = self.model.encode("\n", add_special_tokens=False).ids
         self.forget()
 
     @classmethod
@@ -80,8 +114,7 @@ class Tokens:
 
     def forget(self) -> None:
         """Empty the cache: workers are reused, and other stages need their memory."""
-        self.known: dict[bytes, int] = {}
-        self.ids, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.young, self.old = _Generation(), _Generation()
 
     def _starts(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte positions at which pre-tokens start, and which texts are unsure."""
@@ -119,6 +152,29 @@ class Tokens:
                     break
         return np.flatnonzero(lead)[start], unsure
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes], together: int = 256) -> np.ndarray:
+        """Have the library encode pre-tokens that are in neither generation.
+
+        A line feed before or after a pre-token that is no white space is a pre-token of its
+        own, so many go as lines of one text, which costs less than as many texts.
+        """
+        texts = [w.decode("utf-8") for w in words]
+        lines = [i for i, x in enumerate(texts) if not x.isspace()] if len(self.line_feed) == 1 else []
+        joined = ["\n".join([*(texts[i] for i in lines[k : k + together]), ""]) for k in range(0, len(lines), together)]
+        ids = np.fromiter(itertools.chain.from_iterable(self._ids(joined)), np.uint32)
+        ends = np.flatnonzero(ids == self.line_feed[0]) if len(lines) else np.zeros(0, np.int64)
+        size = np.diff(ends, prepend=-1) - 1
+        rows = np.empty(len(words), np.int64)
+        rows[lines] = self.young.add([words[i] for i in lines], ids[ids != self.line_feed[0]], size)
+        rest = sorted({*range(len(words))} - {*lines}) if len(lines) < len(words) else []
+        found = self._ids([texts[i] for i in rest])
+        size = np.array([len(x) for x in found], np.int64)
+        rows[rest] = self.young.add([words[i] for i in rest], np.array([i for x in found for i in x], np.uint32), size)
+        return rows
+
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run of texts, and each text's first index."""
         if not len(raw):
@@ -126,22 +182,21 @@ class Tokens:
         start, unsure = self._starts(raw, at)
         end = np.append(start[1:], len(raw))
         first, back = _distinct(raw, start, end)
-        if len(self.known) > self.MOST:
-            self.forget()
         view = raw.tobytes()
         texts = [view[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
-        rows = np.fromiter(map(self.known.get, texts, itertools.repeat(-1)), np.int64, len(texts))
-        new = np.flatnonzero(rows < 0)
-        if len(new):
-            words = [texts[i] for i in new.tolist()]
-            found = [e.ids for e in self.model.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
-            rows[new] = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(new))
-            self.known.update(zip(words, rows[new].tolist()))
-            self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
-            self.ids = np.append(self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32))
-        where, each = self.begin[rows], np.diff(self.begin)[rows][back]
+        if len(self.young.known) > self.MOST:
+            self.young, self.old = _Generation(), self.young
+        rows = self.young.find(texts)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            words = [texts[i] for i in missing.tolist()]
+            before = self.old.find(words)
+            met, new = np.flatnonzero(before >= 0), np.flatnonzero(before < 0)
+            rows[missing[met]] = self.young.add([words[i] for i in met.tolist()], *self.old.take(before[met]))
+            rows[missing[new]] = self._learn([words[i] for i in new.tolist()])
+        where, each = self.young.begin[rows][back], np.diff(self.young.begin)[rows][back]
         total = np.cumsum(each)
-        ids = self.ids[np.repeat(where[back] - (total - each), each) + np.arange(int(total[-1]))]
+        ids = self.young.ids[_ranges(where, each)]
         bounds = np.append(0, total)[np.searchsorted(start, at)]
         if unsure.any():
             parts = []
