@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,8 +159,8 @@ def may_be_among(rows: DataFrame, hash_of: Column, keys: DataFrame, most: int =
     mixed = keys.select(F.xxhash64(keys.columns[0]))
     sent = rows.sparkSession.sparkContext.broadcast(bloom_filter(mixed.mapInArrow(pack_longs(6), SCHEMA), 1, size, 6))
 
-    @F.pandas_udf("boolean")
-    def probe(h: pd.Series) -> pd.Series:
-        return pd.Series(bloom_probe(sent.value, 6, h.to_numpy().astype(np.int64).view(ts.U), 3))
+    @F.arrow_udf("boolean")
+    def probe(h: pa.Array) -> pa.Array:
+        return pa.array(bloom_probe(sent.value, 6, h.to_numpy(zero_copy_only=False).astype(np.int64).view(ts.U)))
 
     return probe(F.xxhash64(hash_of))

@@ -173,11 +173,23 @@ def _list_slices(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(column)), size), column.flatten()
 
 
+def _runs(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose lists have so many elements at most, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < batch.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _merge():
     """Overlapping windows of a text with one source and one distance to it become spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _runs(batches, 2):
             row, items = _list_slices(batch.column(2))
             if not len(row):
                 continue
