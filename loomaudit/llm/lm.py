@@ -6,7 +6,7 @@ holds it with each of 1 .. q.  A look-up probes 1, 2, ... until a probe fails; t
 success is the quantised count.  The first level takes ``words`` words of 64 bits with
 eight bits each, the levels above one word, and the filter has ``density`` times as many
 bits as are set, so an n-gram that was never counted passes the first level with a
-probability of about ``2 ** (-7 * words)``; the actual rate ``f`` is measured on each part.
+probability of about ``2 ** (-6 * words)``; the actual rate ``f`` is measured on each part.
 
 *The score is a probability.*  With ``c(h)`` the count of the context, the probability of
 ``w`` after ``h`` is
@@ -247,8 +247,8 @@ def score_texts(
     order: int = 2,
     weight: float = 0.8,
     words: int = 3,
-    density: float = 1.44,
-    group_bytes: int = 160 << 20,
+    density: float = 1.25,
+    group_bytes: int = 100 << 20,
     per_token: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
