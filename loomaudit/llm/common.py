@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session; only where that is unset, as
-    in tests on one machine, a temporary folder is made and set.  A path without a
+    It is ``spark.checkpoint.dir`` of the session; only where that is unset and the
+    session is on one machine, as in tests, a temporary folder is made and set.  A path without a
     scheme is one of the session's default file system.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="loomaudit-")
         spark.conf.set("spark.checkpoint.dir", found)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
