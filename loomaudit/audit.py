@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
@@ -25,6 +26,7 @@ class AuditReport:
     warnings: list[str]
     fail_on: Severity = Severity.ERROR
     created: str = field(default_factory=lambda: datetime.now(UTC).isoformat(timespec="seconds"))
+    duration_s: float = 0.0
 
     @property
     def fired(self) -> list[Finding]:
@@ -43,7 +45,8 @@ class AuditReport:
         return 0 if self.ok else 1
 
     def by_severity(self, severity: Severity | str) -> list[Finding]:
-        return [f for f in self.findings if f.severity is Severity.of(severity)]
+        """What fired at one severity."""
+        return [f for f in self.fired if f.severity is Severity.of(severity)]
 
     def findings_for(self, check_id: str) -> list[Finding]:
         return [f for f in self.findings if f.check_id == check_id.strip().upper()]
@@ -59,23 +62,38 @@ class AuditReport:
         clean = {f.check_id for f in self.findings} - {f.check_id for f in fired}
         return {
             "n_checks": len(self.checks),
+            "n_checks_requested": len(self.checks),
+            "n_checks_run": len(self.checks) - len(self.skipped),
+            "n_checks_skipped": len(self.skipped),
             "n_findings": len(self.findings),
             "n_fired": len(fired),
             "n_errors": sum(f.severity is Severity.ERROR for f in fired),
             "n_warnings": sum(f.severity is Severity.WARNING for f in fired),
-            "n_info": len(self.by_severity(Severity.INFO)),
+            "n_info": sum(f.severity is Severity.INFO for f in self.findings),
             "n_passed": len(clean),
             "n_skipped": len(self.skipped),
             "n_affected_rows": sum(f.n_rows for f in fired),
             "n_subjects": self.data.get("n_subjects", 0),
             "n_events": self.data.get("n_events", 0),
             "worst": str(fired[0].severity) if fired else None,
+            "worst_severity": str(fired[0].severity) if fired else None,
         }
 
+    def summary_markdown(self) -> str:
+        """The summary as a short table of its own."""
+        s = self.summary()
+        shown = {
+            "subjects": s["n_subjects"], "events": s["n_events"], "checks run": f"{s['n_checks_run']} of {s['n_checks']}", "checks skipped": s["n_skipped"],
+            "findings that fired": s["n_fired"], "errors": s["n_errors"], "warnings": s["n_warnings"], "worst severity": s["worst"] or "none",
+        }
+        lines = ["| what | value |", "| --- | --- |", *(f"| {k} | {v} |" for k, v in shown.items())]
+        return "\n".join(lines + (["", f"{s['n_skipped']} check(s) were skipped; a skipped check is not a passed check."] if s["n_skipped"] else []))
+
     def to_dict(self) -> dict:
         return {
             "version": VERSION,
             "created": self.created,
+            "duration_s": self.duration_s,
             "ok": self.ok,
             "exit_code": self.exit_code,
             "fail_on": str(self.fail_on),
@@ -107,6 +125,7 @@ def run_audit(ctx: AuditContext, checks=None, fail_on: Severity | str = Severity
     A check that raises becomes a skip that names the exception.  Evidence about a
     subject that no input has is fabricated and aborts the audit.
     """
+    began = time.monotonic()
     findings, skipped, ran = [], [], resolve_checks(checks)
     for check in ran:
         try:
@@ -128,4 +147,6 @@ def run_audit(ctx: AuditContext, checks=None, fail_on: Severity | str = Severity
             findings.append(f)
     findings.sort(key=lambda f: (f.check_id, f.name))
     skipped.sort(key=lambda s: s.check_id)
-    return AuditReport(findings, skipped, [c.metadata() for c in ran], ctx.describe(), ctx.warnings(), Severity.of(fail_on))
+    report = AuditReport(findings, skipped, [c.metadata() for c in ran], ctx.describe(), ctx.warnings(), Severity.of(fail_on))
+    report.duration_s = round(time.monotonic() - began, 3)
+    return report

@@ -55,7 +55,6 @@ def _audit(args) -> int:
     from .operators.registry import resolve_checks
     from .plans.context import AuditContext
     from .report.render import write_report
-    from .sources.features import read_feature_matrix
 
     if args.fail_on not in ("error", "warning"):
         raise AuditError(f"--fail-on takes error or warning, not {args.fail_on}: observations are no failures")
@@ -67,11 +66,12 @@ def _audit(args) -> int:
     for path in (args.data, args.task, args.splits, args.labels, args.features):
         if path and not exists(path):
             raise AuditError(f"no such path: {path}")
-    more = {"encounter_column": args.encounter_column} if args.format == "meds" else {}
+    if (args.feature_subject_column or args.feature_time_column) and not args.features:
+        raise AuditError("--feature-subject-column and --feature-time-column need --features")
+    more = {"feature_subject": args.feature_subject_column, "feature_time": args.feature_time_column}
+    more |= {"encounter_column": args.encounter_column} if args.format == "meds" else {}
     build = AuditContext.from_meds if args.format == "meds" else AuditContext.from_omop
-    ctx = build(spark, args.data, args.task, args.splits, args.labels, None if args.feature_subject_column else args.features, **more)
-    if args.features and args.feature_subject_column:
-        ctx.features = read_feature_matrix(spark, args.features, args.feature_subject_column, args.feature_time_column)
+    ctx = build(spark, args.data, args.task, args.splits, args.labels, args.features, **more)
     report = run_audit(ctx, checks, args.fail_on)
     if args.out:
         write_report(report, args.out)

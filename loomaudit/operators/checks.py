@@ -100,14 +100,16 @@ def straddling_members(events: DataFrame, splits: DataFrame, group_column: str)
     """Members of groups whose subjects are in several splits.
 
     Groups are reduced to their (group, split) pairs before they meet, so a hot group is
-    as small as the number of splits; only then its members are fetched.
+    as small as the number of splits; only then its members are fetched, by a join that
+    deals both sides anew, so that AQE can split the group.
     """
     member = events.select("subject_id", F.col(group_column).alias("grp")).filter("grp is not null and subject_id is not null").distinct()
     member = member.join(splits, "subject_id")
     pairs = member.select("grp", "split").distinct()
     wide = pairs.groupBy("grp").agg(F.array_sort(F.collect_set("split")).alias("s")).filter(F.size("s") > 1)
     wide = wide.select("grp", F.size("s").cast("bigint").alias("n_splits"), F.array_join("s", ",").alias("splits"))
-    return member.join(wide, "grp").select("subject_id", F.col("grp").alias("group_id"), "split", "n_splits", "splits")
+    anew = lambda d: d.select(F.struct("grp").alias("key"), *(c for c in d.columns if c != "grp"))  # noqa: E731  a fresh key forces an exchange
+    return anew(member).join(anew(wide), "key").select("subject_id", F.col("key.grp").alias("group_id"), "split", "n_splits", "splits")
 
 
 def signatures(events: DataFrame) -> DataFrame:
@@ -117,15 +119,17 @@ def signatures(events: DataFrame) -> DataFrame:
     return out.select("subject_id", "codes", F.array_join("codes", "|").alias("signature"), F.size("codes").cast("bigint").alias("n_facts"))
 
 
-def duplicate_subjects(signed: DataFrame) -> DataFrame:
-    """One row for each subject that shares its signature, with how many do and the first ones.
+def duplicate_subjects(signed: DataFrame, listed: int = 50) -> DataFrame:
+    """One row for each subject that shares its signature, with how many do and the first ``listed`` of them.
 
-    Ids of a group are aggregated map-side and joined back by a hash of the codes.
+    A group is counted and listed in parts, each with its own first ids, before the parts
+    meet, so no list grows with the group; it is joined back by a hash of the codes.
     """
-    key = F.xxhash64("codes").alias("key")
-    groups = signed.select(key, "codes", "subject_id").groupBy("key", "codes")
-    groups = groups.agg(F.count("*").alias("n_subject_ids"), F.array_join(F.array_sort(F.collect_set("subject_id")), ",").alias("subject_ids"))
-    shared = groups.filter("n_subject_ids > 1").select("key", "codes", "n_subject_ids", "subject_ids")
+    key, part = F.xxhash64("codes").alias("key"), F.pmod(F.xxhash64("subject_id"), F.lit(1024)).alias("part")
+    first = lambda ids: F.slice(F.array_sort(ids), 1, listed)
+    parts = signed.select(key, "codes", part, "subject_id").groupBy("key", "codes", "part").agg(F.count("*").alias("n"), first(F.collect_set("subject_id")).alias("ids"))
+    groups = parts.groupBy("key", "codes").agg(F.sum("n").alias("n_subject_ids"), first(F.flatten(F.collect_list("ids"))).alias("ids"))
+    shared = groups.filter("n_subject_ids > 1").select("key", "codes", "n_subject_ids", F.array_join("ids", ",").alias("subject_ids"))
     return signed.withColumn("key", F.xxhash64("codes")).join(shared, ["key", "codes"]).select("subject_id", "signature", "n_facts", "n_subject_ids", "subject_ids")
 
 
@@ -198,7 +202,7 @@ class PostIndexFeatures(Check):
         query = "SELECT e.* FROM events e JOIN index_dates i USING (subject_id) WHERE e.time > i.index_date"
         found = make_finding(
             self.id, "post_index_features_events", Severity.INFO, "{n_rows} event(s) of {n_subjects} subject(s) are later than the index date", rows, n,
-            ("subject_id", "time", "code", "code_system", "index_date"), query, {"source": "events", "note": note},
+            ("subject_id", "time", "code", "code_system", "index_date"), query, {"source": "events", "note": note}, keep=False,
         )
         found.detail["n_post_index_events"] = found.n_rows
         return [*out, found]

@@ -49,7 +49,7 @@ def register(check: Check, replace: bool = False) -> Check:
     return check
 
 
-def register_check(id: str, name: str, severity: Severity | str = Severity.ERROR, description: str | None = None, rationale: str = "", replace: bool = False) -> Callable:
+def register_check(id: str, name: str, severity: Severity | str = Severity.WARNING, description: str | None = None, rationale: str = "", replace: bool = False) -> Callable:
     """Register a function of the context; the first line of its docstring describes it."""
 
     def wrap(function: Callable) -> Callable:

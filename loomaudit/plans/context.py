@@ -71,10 +71,13 @@ class AuditContext:
         labels: DataFrame | None = None,
         features: FeatureMatrix | None = None,
         warnings: tuple[str, ...] = (),
+        source: tuple[str, str | None] = ("frames", None),
+        metadata: dict | None = None,
     ):
         self.task, self.splits, self.labels, self.features = task, splits, labels, features
         self.events = nz.coerce_events(events, task.splits.group_column)
         self.load_warnings = list(warnings)
+        (self.source_format, self.source_path), self.dataset_metadata = source, metadata or {}
         self.spark = events.sparkSession
 
     @classmethod
@@ -90,14 +93,17 @@ class AuditContext:
         return cls(events, task, splits, labels, features)
 
     @classmethod
-    def from_meds(cls, spark, directory, task, splits=None, labels=None, features=None, encounter_column: str | None = None) -> AuditContext:
+    def from_meds(
+        cls, spark, directory, task, splits=None, labels=None, features=None, encounter_column: str | None = None, feature_subject: str | None = None, feature_time: str | None = None
+    ) -> AuditContext:
         from ..sources import features as fx
         from ..sources import meds
         from ..sources import splits as sp
 
         notes = []
         task = task if isinstance(task, TaskSpec) else TaskSpec.from_yaml(task)
-        notes += meds.schema_warnings(spark.read.parquet(meds.find_shards(directory)[0]))
+        for paths in meds.shard_schemas(spark, directory).values():
+            notes += meds.schema_warnings(spark.read.parquet(paths[0]))
         id_map = meds.read_subject_id_map(spark, directory)
         events = meds.read_meds_events(spark, directory, encounter_column, task.splits.group_column)
         if splits is None and (found := meds.find_splits(directory)):
@@ -105,13 +111,13 @@ class AuditContext:
             notes.append(f"splits are those of the dataset itself: {found}")
         split_frame = sp.read_splits(spark, splits, id_map) if splits is not None else None
         label_frame = meds.restore_ids(fx.read_labels(spark, labels), id_map, "labels", True) if labels is not None else None
-        matrix = fx.read_feature_matrix(spark, features) if features is not None else None
+        matrix = fx.read_feature_matrix(spark, features, feature_subject, feature_time) if features is not None else None
         if matrix is not None and id_map is not None:
             matrix = matrix.with_frame(meds.restore_ids(matrix.frame, id_map, "features", True))
-        return cls(events, task, split_frame, label_frame, matrix, tuple(notes))
+        return cls(events, task, split_frame, label_frame, matrix, tuple(dict.fromkeys(notes)), ("meds", str(directory)), meds.read_dataset_metadata(directory))
 
     @classmethod
-    def from_omop(cls, spark, directory, task, splits=None, labels=None, features=None) -> AuditContext:
+    def from_omop(cls, spark, directory, task, splits=None, labels=None, features=None, feature_subject: str | None = None, feature_time: str | None = None) -> AuditContext:
         from ..sources import features as fx
         from ..sources import omop
         from ..sources import splits as sp
@@ -123,8 +129,9 @@ class AuditContext:
             task,
             sp.read_splits(spark, splits) if splits is not None else None,
             fx.read_labels(spark, labels) if labels is not None else None,
-            fx.read_feature_matrix(spark, features) if features is not None else None,
+            fx.read_feature_matrix(spark, features, feature_subject, feature_time) if features is not None else None,
             notes,
+            ("omop", str(directory)),
         )
 
     # relations
@@ -203,13 +210,20 @@ class AuditContext:
         out = [*self.load_warnings, *nz.warnings_of(self.profile), *self.task.warnings(), *self.split_warnings()]
         if self.features is not None:
             out += self.features.warnings()
-        if self.n_index < self.n_subjects:
+        if not self.n_index:
+            out.append("no subject has an index date, so every check that needs one is skipped: name an index event that the data have, or give labels with a time")
+        elif self.n_index < self.n_subjects:
             out.append(f"{self.n_index} of {self.n_subjects} subjects have an index date; the others are not checked against it")
         return list(dict.fromkeys(out))
 
     def describe(self) -> dict:
         return {
+            "source_format": self.source_format,
+            "source_path": self.source_path,
+            "dataset_metadata": self.dataset_metadata,
             **{k: self.profile[k] for k in ("n_events", "n_subjects")},
+            "n_timed_events": self.profile["n_events"] - self.profile["null_time"],
+            "n_static_events": self.profile["null_time"],
             "n_index_dates": self.n_index,
             "has_encounters": self.has_encounters,
             "has_code_systems": self.has_systems,

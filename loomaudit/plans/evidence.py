@@ -120,15 +120,28 @@ def counts(df: DataFrame) -> DataFrame:
 
 
 def unknown_subjects(listed: DataFrame, known: DataFrame) -> DataFrame:
-    """Listed subjects (at most 50) that no input has."""
-    return listed.join(known.select("subject_id").distinct(), "subject_id", "left_anti")
+    """Listed subjects (at most 50) that no input has; of the inputs only these ids are shuffled."""
+    met = known.select("subject_id").join(F.broadcast(listed), "subject_id", "left_semi").distinct()
+    return listed.join(met, "subject_id", "left_anti")
 
 
 def make_finding(
-    check_id: str, name: str, severity: Severity, message: str, offending: DataFrame, total: int, columns: tuple[str, ...] = (), query: str = "", detail: dict | None = None
+    check_id: str,
+    name: str,
+    severity: Severity,
+    message: str,
+    offending: DataFrame,
+    total: int,
+    columns: tuple[str, ...] = (),
+    query: str = "",
+    detail: dict | None = None,
+    keep: bool = True,
 ) -> Finding:
-    """Count the offending rows and fetch ten of them and fifty subjects, no more."""
-    offending = offending.persist()
+    """Count the offending rows and fetch ten of them and fifty subjects, no more.
+
+    ``keep`` caches them for these three passes; not for rows as many as the input's.
+    """
+    offending = offending.persist() if keep else offending
     try:
         rows, subjects = counts(offending).first()
         kept = [c for c in columns if c in offending.columns] or offending.columns
@@ -148,4 +161,5 @@ def make_finding(
             detail or {},
         )
     finally:
-        offending.unpersist()
+        if keep:
+            offending.unpersist()

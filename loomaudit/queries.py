@@ -311,7 +311,7 @@ _SIG = "sig AS (SELECT subject_id, string_agg(DISTINCT code, '|' ORDER BY code)
 
 @query(
     "lk009",
-    f"WITH {_EVENTS}, {_SIG}, g AS (SELECT signature, count(*)::BIGINT AS n_subject_ids, string_agg(subject_id, ',' ORDER BY subject_id) AS subject_ids FROM sig GROUP BY 1 HAVING count(*) > 1) SELECT subject_id, signature, n_facts, n_subject_ids, subject_ids FROM sig JOIN g USING (signature)",
+    f"WITH {_EVENTS}, {_SIG}, g AS (SELECT signature, count(*)::BIGINT AS n_subject_ids, array_to_string(list_slice(list(subject_id ORDER BY subject_id), 1, 50), ',') AS subject_ids FROM sig GROUP BY 1 HAVING count(*) > 1) SELECT subject_id, signature, n_facts, n_subject_ids, subject_ids FROM sig JOIN g USING (signature)",
 )
 def _(spark, d):
     return ck.duplicate_subjects(ck.signatures(retail.retail_events(spark, d)))
@@ -455,13 +455,12 @@ def _(spark, d):
 
 @query("meds_roundtrip", f"WITH {_EVENTS} SELECT subject_id, time, code, code_system, numeric_value::FLOAT::DOUBLE AS numeric_value, text_value, encounter_id FROM ev")
 def _(spark, d):
-    import tempfile
+    import uuid
 
     from .sources import meds
+    from .sources.files import shared_folder
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomaudit-")
-    import uuid
-
+    base = shared_folder(spark)
     folder = f"{base.rstrip('/')}/meds-{uuid.uuid4().hex}"
     meds.write_meds_dataset(retail.retail_events(spark, d), folder, "retail")
     return meds.read_meds_events(spark, folder)
@@ -481,6 +480,45 @@ def _(spark, d):
     return build_feature_matrix(raw).frame.groupBy("subject_id").agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 
 
+@query("labels_time_aliases", "SELECT o_custkey::VARCHAR AS subject_id, o_orderdate::TIMESTAMP AS index_date, (o_orderstatus = 'F') AS label FROM orders")
+def _(spark, d):
+    raw = retail.table(spark, d, "orders").select(F.col("o_custkey").alias("Person_ID"), F.col("o_orderdate").alias("index_time"), (F.col("o_orderstatus") == "F").alias("target"))
+    return build_labels(raw)
+
+
+@query("labels_boolean_first", "SELECT o_custkey::VARCHAR AS subject_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus = 'F' ELSE o_totalprice > 150000 END AS label FROM orders")
+def _(spark, d):
+    raw = retail.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("subject"), F.col("o_orderdate").alias("time"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice") > 150000).alias("boolean_value")
+    )
+    return build_labels(raw).select("subject_id", "label")
+
+
+@query(
+    "feature_column_roles",
+    "SELECT 'o_totalprice' AS feature, count(o_totalprice)::BIGINT AS n, count(DISTINCT o_custkey)::BIGINT AS n_subjects FROM orders UNION ALL SELECT 'weekday', count(o_orderdate), count(DISTINCT o_custkey) FROM orders",
+)
+def _(spark, d):
+    """Of ids, times, labels, splits and visits none is a feature."""
+    c = F.col
+    named = {"id": c("o_custkey"), "as_of_time": c("o_orderdate"), "y": c("o_orderstatus") == "F", "outcome": c("o_orderstatus"), "Fold": c("o_orderkey") % 5, "split": c("o_orderpriority"), "hadm_id": c("o_orderkey")}
+    matrix = build_feature_matrix(retail.table(spark, d, "orders").select(*(v.alias(k) for k, v in named.items()), "o_totalprice", F.dayofweek("o_orderdate").alias("weekday")))
+    long = matrix.frame.select("subject_id", *(c(f).cast("string").alias(f) for f in matrix.features)).unpivot(["subject_id"], list(matrix.features), "feature", "value")
+    return long.groupBy("feature").agg(F.count("value").alias("n"), F.count_distinct("subject_id").alias("n_subjects"))
+
+
+@query("split_of", f"WITH {_SPLIT2} SELECT subject_id, array_to_string(list(split ORDER BY CASE split WHEN 'train' THEN 1 WHEN 'valid' THEN 2 ELSE 3 END), ',') AS splits FROM (SELECT DISTINCT subject_id, split FROM sp) GROUP BY 1")
+def _(spark, d):
+    return sp.split_of(retail.retail_splits(spark, d, True)).select("subject_id", F.array_join("splits", ",").alias("splits"))
+
+
+@query("evidence_unknown", "SELECT 'C' || c_custkey AS subject_id FROM customer WHERE c_custkey <= 20 UNION ALL SELECT c_custkey::VARCHAR FROM customer WHERE c_custkey <= 20 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def _(spark, d):
+    few = retail.table(spark, d, "customer").filter("c_custkey <= 20").select(F.col("c_custkey").cast("string").alias("subject_id"))
+    listed = few.unionByName(few.select(F.concat(F.lit("C"), "subject_id").alias("subject_id")))
+    return ev.unknown_subjects(listed, retail.retail_events(spark, d))
+
+
 @query("synth_clean_audit")
 def _(spark, d):
     from .audit import run_audit

@@ -45,6 +45,8 @@ def render_html(report: AuditReport) -> str:
     out.append(_bars("Checks by outcome", [(n, s[k], str(s[k])) for n, k in (("error", "n_errors"), ("warning", "n_warnings"), ("passed", "n_passed"), ("skipped", "n_skipped"))]))
     if report.fired:
         out.append(_bars("Affected share of subjects", [(f"{f.check_id}", f.subject_rate or 0, f"{(f.subject_rate or 0):.1%}") for f in report.fired]))
+    task = {k: v for k, v in (report.data.get("task") or {}).items()}
+    out.append("<h2>Task</h2>" + _table([{"key": k, "value": json.dumps(jsonable(v), ensure_ascii=False)} for k, v in task.items()]) if task else "")
     out.append("<h2>Data</h2>" + _table([{"key": k, "value": json.dumps(jsonable(v), ensure_ascii=False)} for k, v in report.data.items()]))
     for title, found in (("Findings", report.fired), ("Observations", [f for f in report.passed if f.n_rows]), ("Passed", [f for f in report.passed if not f.n_rows])):
         out.append(f"<h2>{title}</h2>")

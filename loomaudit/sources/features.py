@@ -11,10 +11,14 @@ from pyspark.sql import types as T
 from ..errors import InputError, SchemaError
 from ..functions.normalize import lossy
 
-#: Accepted column names, in order of preference: fixed values.
-SUBJECT_NAMES = ("subject_id", "patient_id", "person_id", "SUBJECT_ID")
-TIME_NAMES = ("prediction_time", "index_date", "as_of")
-LABEL_NAMES = ("label", "boolean_value", "outcome", "target", "y", "integer_value", "float_value")
+#: Accepted column names, in order of preference, whatever their case: fixed values.
+SUBJECT_NAMES = ("subject_id", "person_id", "patient_id", "subject", "id")
+TIME_NAMES = ("prediction_time", "index_date", "index_time", "as_of", "as_of_time", "time", "timestamp")
+LABEL_TIME_NAMES = ("prediction_time", "index_date", "index_time", "time")
+LABEL_NAMES = ("boolean_value", "label", "y", "outcome", "target", "integer_value", "float_value")
+MATRIX_LABEL_NAMES = ("label", "y", "outcome", "target", "boolean_value")
+#: Further columns of a matrix that are no features: fixed values.
+OTHER_NAMES = ("split", "fold", "categorical_value", "encounter_id", "visit_id", "hadm_id")
 
 
 def locate(columns: list[str], names: tuple[str, ...]) -> str | None:
@@ -81,7 +85,7 @@ class FeatureMatrix:
 
 
 def build_feature_matrix(df: DataFrame, subject_column: str | None = None, time_column: str | None = None) -> FeatureMatrix:
-    """Find id, time and label; everything else is a feature.  Overrides are exact names."""
+    """Find id, time and label; what is no id, time, label, split or visit is a feature.  Overrides are exact names."""
     for wanted in (subject_column, time_column):
         if wanted is not None and wanted not in df.columns:
             raise SchemaError(f"the feature matrix has no column {wanted}; found {', '.join(df.columns)}", column=wanted)
@@ -89,14 +93,16 @@ def build_feature_matrix(df: DataFrame, subject_column: str | None = None, time_
     if who is None:
         raise SchemaError(f"the feature matrix has no subject column; tried {', '.join(SUBJECT_NAMES)}", column="subject_id")
     when = time_column or locate(df.columns, TIME_NAMES)
-    label = locate(df.columns, ("label",))
-    rest = [c for c in df.columns if c not in (who, when, label) and c.lower() != "subject_id"]
+    label = locate(df.columns, MATRIX_LABEL_NAMES)
+    known = {*SUBJECT_NAMES, *TIME_NAMES, *LABEL_NAMES, *OTHER_NAMES}
+    rest = [c for c in df.columns if c not in (who, when, label) and c.lower() != "subject_id" and c.lower() not in ("feature_time", "label")]
+    features = tuple(c for c in rest if c.lower() not in known)
     kept = [lossy(F.col(who), T.StringType(), df.schema[who].dataType).alias("subject_id")]
     if when:
         kept.append(lossy(F.col(when), T.TimestampNTZType(), df.schema[when].dataType).alias("feature_time"))
     if label:
         kept.append(truth(df, label).alias("label"))
-    return FeatureMatrix(df.select(*kept, *rest), when, label, tuple(rest))
+    return FeatureMatrix(df.select(*kept, *rest), when, label, features)
 
 
 def read_feature_matrix(spark: SparkSession, path: str, subject_column: str | None = None, time_column: str | None = None) -> FeatureMatrix:
@@ -117,12 +123,14 @@ def truth(df: DataFrame, column: str):
 
 
 def build_labels(df: DataFrame) -> DataFrame:
-    """``subject_id, index_date, label``; the label is the first known of the candidates."""
-    who, when = locate(df.columns, SUBJECT_NAMES), locate(df.columns, TIME_NAMES)
+    """``subject_id, index_date, label``; the label is the first known of the candidates, boolean first."""
+    who, when = locate(df.columns, SUBJECT_NAMES), locate(df.columns, LABEL_TIME_NAMES)
     if who is None:
-        raise SchemaError(f"labels have no subject column; tried {', '.join(SUBJECT_NAMES)}", column="subject_id")
+        raise SchemaError(f"labels have no subject column; tried {', '.join(SUBJECT_NAMES)}; found {', '.join(df.columns)}", column="subject_id")
+    if when is None:
+        raise SchemaError(f"labels have no column for the index date; tried {', '.join(LABEL_TIME_NAMES)}; found {', '.join(df.columns)}", column="index_date")
     kept = [lossy(F.col(who), T.StringType(), df.schema[who].dataType).alias("subject_id")]
-    kept.append((lossy(F.col(when), T.TimestampNTZType(), df.schema[when].dataType) if when else F.lit(None).cast("timestamp_ntz")).alias("index_date"))
+    kept.append(lossy(F.col(when), T.TimestampNTZType(), df.schema[when].dataType).alias("index_date"))
     found = [c for c in (locate(df.columns, (n,)) for n in LABEL_NAMES) if c]
     kept.append(F.coalesce(*(truth(df, c) for c in found), F.lit(None).cast("boolean")).alias("label"))
     return df.select(*kept)

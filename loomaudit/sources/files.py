@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
+from ..errors import InputError
+
 
 def _open(path: str):
     spark = SparkSession.getActiveSession()
@@ -11,6 +16,17 @@ def _open(path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder, on one machine only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise InputError("set spark.checkpoint.dir to a folder that all machines share")
+        found = "file://" + tempfile.mkdtemp(prefix="loomaudit-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def exists(path: str) -> bool:
     fs, target = _open(path)
     return fs.exists(target)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -59,14 +60,21 @@ def read_meds_events(spark: SparkSession, root: str, encounter_column: str | Non
     Shards of one schema are read together; each distinct schema is made canonical
     before the union, so types that drift between shards meet as text or doubles.
     """
-    by_schema: dict[str, list[str]] = {}
-    for path in find_shards(root):
-        by_schema.setdefault(_schema_of(spark, path), []).append(path)
+    by_schema = shard_schemas(spark, root)
     parts = [frame_to_canonical(spark.read.parquet(*paths), encounter_column, group_column) for paths in by_schema.values()]
     events = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return restore_ids(events, read_subject_id_map(spark, root) if is_folder(root) else None, "events")
 
 
+def shard_schemas(spark: SparkSession, root: str, at_once: int = 32) -> dict[str, list[str]]:
+    """Shards by their schema (as JSON); footers are read ``at_once`` at a time, not one after another."""
+    paths, out = find_shards(root), {}
+    with ThreadPoolExecutor(at_once) as pool:
+        for path, schema in zip(paths, pool.map(lambda p: _schema_of(spark, p), paths)):
+            out.setdefault(schema, []).append(path)
+    return out
+
+
 def _schema_of(spark: SparkSession, path: str) -> str:
     try:
         return spark.read.parquet(path).schema.json()

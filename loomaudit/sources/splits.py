@@ -72,5 +72,23 @@ def overlaps(splits: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n_shared"))
 
 
+def split_of(splits: DataFrame) -> DataFrame:
+    """``subject_id, splits``: the splits of each subject, train, valid and test first."""
+    rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("split"))
+    place = F.struct(F.when(rank > 0, rank).otherwise(len(ORDER) + 1).alias("r"), F.col("split").alias("s"))
+    return splits.groupBy("subject_id").agg(F.array_sort(F.collect_set(place)).alias("p")).select("subject_id", F.col("p.s").alias("splits"))
+
+
+def all_subjects(splits: DataFrame) -> DataFrame:
+    return splits.select("subject_id").distinct()
+
+
+def describe(splits: DataFrame, source: str | None = None) -> dict:
+    """For the report's header: names, sizes, subjects and pairs of splits that overlap."""
+    found = {r.split: r.n_subjects for r in sizes(splits).collect()}  # a handful of splits
+    names = [n for n in ORDER if n in found] + sorted(set(found) - set(ORDER))
+    return {"source": source, "names": names, "sizes": {n: found[n] for n in names}, "n_subjects": all_subjects(splits).count(), "n_overlapping_pairs": overlaps(splits).count()}
+
+
 def sizes(splits: DataFrame) -> DataFrame:
     return splits.groupBy("split").agg(F.count_distinct("subject_id").alias("n_subjects"))

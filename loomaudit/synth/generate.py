@@ -97,7 +97,9 @@ class Cohort:
         folder = str(folder).rstrip("/")
         meds.write_meds_dataset(self.events, folder, self.task.task, self.splits)
         self.labels.write.mode("overwrite").parquet(f"{folder}/labels.parquet")
-        listed = {r.split: r.members for r in self.splits.groupBy("split").agg(F.array_sort(F.collect_set("subject_id")).alias("members")).toLocalIterator()}
+        listed: dict[str, list] = {}
+        for r in self.splits.distinct().orderBy("split", "subject_id").toLocalIterator():  # the format is one JSON document
+            listed.setdefault(r.split, []).append(r.subject_id)
         write_text(f"{folder}/splits.json", json.dumps(listed, indent=2))
         import yaml
 

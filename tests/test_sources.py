@@ -98,7 +98,7 @@ def test_features_labels_splits(spark, tmp_path):
         fx.build_feature_matrix(raw, "who")
     with pytest.raises(InputError):
         fx.read_table(spark, "x.xlsx")
-    typed = spark.createDataFrame([(1, None, 0), (2, None, 3), (3, True, 0)], "subject_id bigint, boolean_value boolean, integer_value int")
+    typed = spark.createDataFrame([(1, None, 0), (2, None, 3), (3, True, 0)], "subject_id bigint, boolean_value boolean, integer_value int").withColumn("time", nz.F.lit("2020-01-01"))
     assert [r.label for r in fx.build_labels(typed).orderBy("subject_id").collect()] == [False, True, True]
     splits = sp.splits_from_mapping(spark, {"Training": ["a", "b", None], "tuning": ["b"], "held_out": ["c"], "extra": ["b"]})
     assert {r.split for r in splits.collect()} == {"train", "valid", "test", "extra"}
