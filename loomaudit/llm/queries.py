@@ -19,10 +19,11 @@ def _vocabulary() -> str:
 
 
 def op3_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations as linked, validated and ordered calls."""
-    from .toolcalls import CHAT_SCHEMA, chat_calls, link
+    """All conversations as linked, validated and ordered calls; other turns as context."""
+    from .toolcalls import CHAT_SCHEMA, chat_calls, context, link
 
-    return link(*chat_calls(_table(spark, sf_dir, "conversations")), CHAT_SCHEMA)
+    chat = _table(spark, sf_dir, "conversations")
+    return link(*chat_calls(chat), CHAT_SCHEMA).unionByName(context(chat))
 
 
 OP3_SQL = r"""
@@ -47,6 +48,9 @@ SELECT coalesce(conv_id, rc) AS conv_id, coalesce(call_id, rk) AS call_id, posit
   || ',"call_id":' || to_json(coalesce(call_id, rk)) || ',"name":' || CASE WHEN call_id IS NULL THEN 'null' ELSE '"reply"' END
   || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"' || status || '"}' AS json
 FROM j
+UNION ALL SELECT conv_id, NULL, turn, NULL, NULL, 'context', false, '', 0::BIGINT,
+  '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
 
 

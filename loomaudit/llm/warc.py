@@ -179,18 +179,43 @@ class _Range:
         return b"".join(parts), here - len(z.unused_data)
 
 
-def _parse(content: bytes) -> tuple:
-    head, _, rest = content.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    fields = {k.lower(): v for k, v in fields.items()}
-    block = rest[: int(fields.get("content-length", 0))]
+def _fields(head: bytes) -> dict[str, str]:
+    """Header lines by lower-case name; the space after the colon is optional, and a folded line continues the one before."""
+    out, last = {}, None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            last, value = line.split(":", 1)
+            last = last.strip().lower()
+            out[last] = value.strip()
+    return out
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.isascii() and text.isdigit() else None
+
+
+def _parse(content: bytes) -> list[tuple]:
+    """All records of a member's content; one without a sound length reaches to the end."""
+    out = []
+    while content.startswith(b"WARC/"):
+        head, _, rest = content.partition(b"\r\n\r\n")
+        fields = _fields(head)
+        size = _number(fields.get("content-length"))
+        block = rest if size is None else rest[:size]
+        out.append(_one(fields, block))
+        content = rest[len(block) :].lstrip(b"\r\n")
+    return out
+
+
+def _one(fields: dict[str, str], block: bytes) -> tuple:
     http, _, payload = block.partition(b"\r\n\r\n") if fields.get("content-type", "").startswith("application/http") else (b"", b"", block)
-    length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
     stated = fields.get("warc-payload-digest", "").rpartition(":")[2] or None
     kind = fields.get("warc-type", "")
     if kind == "revisit":
-        digest, ok = stated, None
-        payload = b""
+        length = _number(_fields(http).get("content-length"))
+        length, digest, ok, payload = len(payload) if length is None else length, stated, None, b""
     else:
         digest = hashlib.sha256(payload).hexdigest()
         length, ok = len(payload), stated is None or stated == digest
@@ -218,9 +243,9 @@ def _reader(with_payload: bool):
                         if got is None:
                             at = data.search(at + 1, end)
                             continue
-                        row = _parse(got[0])
-                        rows.append(row if with_payload else (*row[:-1], None))
-                        held += len(row[-1]) if with_payload else 0
+                        for row in _parse(got[0]):
+                            rows.append(row if with_payload else (*row[:-1], None))
+                            held += len(row[-1]) if with_payload else 0
                         if held > 8 << 20 or len(rows) >= 4096:
                             yield batch_of(rows)
                             rows, held = [], 0

@@ -48,3 +48,48 @@ def test_levels_of_chains_and_cycles(spark):
 
 def test_empty(spark):
     assert run(spark, [], []) == {}
+
+
+def test_nested_schemas(spark):
+    schema = {
+        "book": {
+            "properties": {
+                "who": {"type": "object", "properties": {"name": {"type": "string", "maxLength": 5}, "age": {"type": "integer", "maximum": 120}}, "required": ["name"]},
+                "kind": {"type": "string", "enum": ["a", "b"]},
+                "days": {"type": "array", "items": {"type": "integer"}},
+                "n": {"enum": [1, 2]},
+            },
+            "required": ["who"],
+        }
+    }
+    cases = {
+        '{"who":{"name":"Ann","age":3},"kind":"a","days":[1,2],"n":2}': "",
+        '{"who":{"age":300},"kind":"c","days":[1,"x"]}': "item:days,enum:kind,large:who.age,missing:who.name",
+        '{"who":7}': "type:who",
+        '{"who":{"name":"Josephine","zip":1,"and":2},"days":[null],"n":3}': "item:days,enum:n,long:who.name,unknown:who.and+who.zip",
+        '{"kind":null}': "type:kind,missing:who",
+        '{"who":{"name":"Ann"},"days":[]}': "",
+    }
+    calls = spark.createDataFrame([(1, i, f"c{i}", "book", text, None) for i, text in enumerate(cases)], CALLS)
+    got = {r.position: r.errors for r in tc.link(calls, spark.createDataFrame([], RESULTS), schema).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_clashing_columns_and_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    more = {c: F.lit("x") for c in ("rc", "rk", "lc", "lk", "level", "node", "up", "json", "answered", "is_call")}
+    calls = spark.createDataFrame([(1, 0, "x", "add", '{"a":1}', None), (1, 2, "y", "add", '{"a":1}', "x")], CALLS).withColumns(more)
+    results = spark.createDataFrame([(1, 1, "x", "long " * 100_000)], RESULTS).withColumns(more)
+    got = {r.call_id: r for r in tc.link(calls, results, SCHEMAS).collect()}
+    assert got["x"].status == "linked" and len(json.loads(got["x"].json)["result"]) == 500_000 and got["y"].level == 1
+
+
+def test_turns_of_every_role(spark):
+    rows = [(1, 0, "system", "be \"kind\""), (1, 1, "user", "q" * 30), (1, 2, "assistant", "a"), (1, 3, None, None), (1, None, "user", "no turn"), (2, 0, "tool", "x"), (2, 0, "tool", "x")]
+    chat = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    found = tc.link(*tc.chat_calls(chat), tc.CHAT_SCHEMA).unionByName(tc.context(chat)).collect()
+    other = sorted((r.conv_id, r.position, json.loads(r.json)["role"] or "") for r in found if r.status == "context")
+    assert other == [(1, 0, "system"), (1, 3, ""), (2, 0, "tool"), (2, 0, "tool")]
+    assert json.loads(next(r.json for r in found if r.status == "context" and r.position == 0 and r.conv_id == 1))["content"] == 'be "kind"'
+    assert sorted(r.status for r in found if r.status != "context") == ["linked", "pending"]

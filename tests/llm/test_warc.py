@@ -62,3 +62,22 @@ def test_scan_skips_what_is_no_record(spark, tmp_path):
 def test_empty(spark):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.read_warc(spark, warc.write_warc(none)).count() == 0
+
+
+def test_headers_as_others_write_them(spark, tmp_path):
+    record = lambda *lines, body=b"": b"\r\n".join([b"WARC/1.0", *lines]) + b"\r\n\r\n" + body + b"\r\n\r\n"
+    one = record(b"WARC-Type:resource", b"warc-record-id:<urn:a>", b"WARC-Target-URI: http://x/", b"\t?q=1", b"Content-Length:3", body=b"abc")
+    two = record(b"WARC-Type: metadata", b"WARC-Record-ID: <urn:b>", b"Content-Length: 2", body=b"de")
+    odd = record(b"WARC-Type: resource", b"WARC-Record-ID: <urn:c>", b"Content-Length: many", body=b"xyz")
+    data = warc._deflate(one + two, 6) + warc._deflate(odd, 6)
+    (tmp_path / "b.gz").write_bytes(data)
+    manifest = spark.createDataFrame([((tmp_path / "b.gz").as_uri(), len(data))], warc.MANIFEST)
+    for split in (7, 1 << 20):
+        got = sorted((r.record_id, r.record_type, r.target_uri, bytes(r.payload)[:3]) for r in warc.read_warc(spark, manifest, split).collect())
+        assert got == [("urn:a", "resource", "http://x/ ?q=1", b"abc"), ("urn:b", "metadata", None, b"de"), ("urn:c", "resource", None, b"xyz")]
+
+
+def test_repeated_rows_are_written_each(spark):
+    df = spark.createDataFrame([(1, "y" * 200)] * 3 + [(2, "y" * 200)], "page_id bigint, html string").withColumn("url", F.lit(None).cast("string"))
+    got = sorted((r.record_id, r.record_type) for r in warc.read_warc(spark, warc.write_warc(df)).collect())
+    assert got == [("urn:record:1", "response")] * 3 + [("urn:record:2", "revisit")]
