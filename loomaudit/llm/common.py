@@ -60,6 +60,11 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         written(spark).remove(path)
 
 
+def keep_last(spark: SparkSession, since: int) -> None:
+    """Delete all scratch tables written since there were so many, but the last."""
+    release(spark, written(spark)[since:-1])
+
+
 def fresh_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join whose two sides are both dealt anew, so AQE can split a hot key.
 
@@ -99,6 +104,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     a, b = edges.columns
     spark = edges.sparkSession
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
+    since = len(written(spark))
     links = materialise(links, "links")
     before = None
     for _ in range(rounds):
@@ -110,6 +116,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = fresh_join(large, low, ["u"])
         small = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         links = materialise(small.filter("u <> v").distinct(), "links")
+        keep_last(spark, since)  # the round's input and its first half
         stars, sum_u, sum_v, n, heads = links.agg(
             F.count_distinct("u"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v").cast("decimal(38,0)")), F.count("*"), F.lit(0)
         ).first()

@@ -227,7 +227,7 @@ def _vocabulary(labelled: DataFrame, targets: tuple[str, ...], least: int, most:
 
     names = [f"n{k}_{v}" for k in range(len(targets)) for v in (1, 0)]
     made = labelled.select("t", *(f"y_{t}" for t in targets)).mapInArrow(count, "h bigint, " + ", ".join(f"{c} bigint" for c in names))
-    counted = common.materialise(made.groupBy("h").agg(*(F.sum(c).alias(c) for c in names)), "words")
+    counted = common.materialise(made.groupBy("h").agg(*(F.sum(c).alias(c) for c in names)).coalesce(8), "words")  # of the labelled rows
     sizes = labelled.agg(*(F.count_if(F.col(f"y_{t}") == v) for t in targets for v in (1, 0))).first()
     found = [np.zeros(0, ts.U)]
     for k in range(len(targets)):
@@ -267,7 +267,7 @@ def fit(
     sample = marked.orderBy(F.xxhash64("id"), "id").limit(most_labelled)
     one = F.min_by(F.struct("t", *_NAMES), F.struct(F.xxhash64("t", *_NAMES), "t")).alias("x")  # of rows with one id
     labelled = rows.join(F.broadcast(sample), "id").groupBy("id").agg(one, *(F.max(f"y_{t}").alias(f"y_{t}") for t in targets))
-    labelled = common.materialise(labelled.select("id", "x.*", *(f"y_{t}" for t in targets)), "labelled")
+    labelled = common.materialise(labelled.select("id", "x.*", *(f"y_{t}" for t in targets)).coalesce(8), "labelled")  # most_labelled rows
     words = _vocabulary(labelled, targets, least, most_words, z)
 
     fitted = Fitted(targets, words, {}, {}, {})
@@ -363,7 +363,8 @@ def _exchange(free: DataFrame, views: dict, taken: dict, per_round: int, bar: fl
         if flat:
             yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*flat), types)], ["target", "view", "label", "odds", "tie", "a", "b"])
 
-    found = common.materialise(free.mapInArrow(sure, "target string, view int, label int, odds double, tie bigint, a binary, b binary"), "confident")
+    found = free.mapInArrow(sure, "target string, view int, label int, odds double, tie bigint, a binary, b binary")
+    found = common.materialise(found.repartition(max(8, free.rdd.getNumPartitions() // 64)), "confident")  # a few rows a task
     parts = [found.filter((F.col("target") == t) & (F.col("view") == k) & (F.col("label") == y)).orderBy(F.desc("odds"), "tie", "a", "b").limit(per_round) for t in views for k in (0, 1) for y in (0, 1)]
     out: dict[str, dict] = {t: {} for t in views}
     for r in reduce(DataFrame.unionByName, parts).collect():  # per_round rows a target, view and class

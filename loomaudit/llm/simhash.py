@@ -196,7 +196,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 2, bucket: int
     marked = common.materialise(fingerprint(docs, k, id_col, text_col), "fingerprints")
     classes = marked.groupBy("fp").agg(F.min("id").alias("low"))
     classes = common.materialise(classes, "classes")
+    since = len(common.written(docs.sparkSession))
     found = common.components(links(classes, distance, bucket))
+    common.keep_last(docs.sparkSession, since)
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("low").alias("component"))
     named = common.fresh_join(rooted.select("fp", "root"), best, ["root"]).select("fp", "component")

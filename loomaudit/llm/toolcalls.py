@@ -96,6 +96,7 @@ def levels(calls: DataFrame) -> DataFrame:
     some = here.filter("up is not null").join(known.hint("shuffle_hash"), "up", "left")
     some = some.select("node", F.when(F.col("there"), F.col("up")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("bigint").alias("d"))
     none = here.filter("up is null").select("node", "up", F.lit(0).cast("bigint").alias("d"))
+    since = len(common.written(calls.sparkSession))
     state = common.materialise(some.unionByName(none), "levels")
     total = state.count()
     for _ in range(max(1, total).bit_length() + 1):
@@ -105,6 +106,7 @@ def levels(calls: DataFrame) -> DataFrame:
         target = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("d").alias("more"))
         step = live.join(target.hint("shuffle_hash"), "up", "left").select("node", F.col("next").alias("up"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"))
         state = common.materialise(step.unionByName(state.filter("up is null")), "levels")
+        common.keep_last(calls.sparkSession, since)
     return state.select("node.conv_id", "node.call_id", F.when(F.col("up").isNull(), F.col("d")).alias("level"))
 
 
