@@ -11,7 +11,9 @@ the rows of each cell (partial sums; at most ``2 ** ring_bits`` numbers, a fixed
 bound), the driver walks the ring over these counts, and the resulting intervals
 (cell, ranks from and to, shard, first slot) are broadcast, again within a fixed
 bound.  Each row finds its interval by its rank in its cell.  Texts are never
-shuffled: only the id, size, checksum and cell are.
+shuffled: only the id, size, checksum and cell are.  A cell with more than one in
+``PARTS`` of all rows (an id that repeats) is ranked in as many parts, dealt by the place
+of a row in its table, and the parts' sizes are added up.
 
 Defined cases: a null text has size 1 and the checksum of no bytes; a null id is
 placed by a hash of the text; rows that agree in all these columns are
@@ -24,6 +26,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
+
+PARTS = 64
+
 
 def _mix(x: int) -> int:
     """The splitmix64 finaliser."""
@@ -105,19 +112,32 @@ def shard_rows(
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     place = F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.xxhash64(text)))
-    cell = place.bitwiseAND((1 << ring_bits) - 1).cast("int")
-    counts = {r.cell: r.n for r in docs.select(cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    plan = spark.createDataFrame(walk(counts, shards, nodes, ring_bits, slack), "c int, lo bigint, hi bigint, shard int, base bigint")
-
     rows = docs.select(
         F.col(id_col).alias("id"),
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        cell.alias("cell"),
+        place.bitwiseAND((1 << ring_bits) - 1).cast("int").alias("cell"),
         place.alias("place"),
     )
-    order = Window.partitionBy("cell").orderBy("place", "id", "text_crc32", "size")
+    rows = common.materialise(rows, "ring")  # so that a row has the same part of its cell whenever it is read
+    counts = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    plan = spark.createDataFrame(walk(counts, shards, nodes, ring_bits, slack), "c int, lo bigint, hi bigint, shard int, base bigint")
+
+    total = sum(counts.values())
+    hot = [cell for cell, n in counts.items() if n * PARTS > total and n > 1]  # fewer than PARTS cells
+    part = F.when(F.col("cell").isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))).otherwise(0) if hot else F.lit(0).cast("bigint")
+    rows = rows.withColumn("part", part)
+    sizes: dict[int, list[tuple[int, int]]] = {}
+    for r in rows.filter(F.col("cell").isin(hot)).groupBy("cell", "part").agg(F.count("*").alias("n")).collect() if hot else ():  # fewer than PARTS ** 2
+        sizes.setdefault(r.cell, []).append((r.part, r.n))
+    before = [(cell, k, sum(n for j, n in parts if j < k)) for cell, parts in sizes.items() for k, _ in parts]
+    first = spark.createDataFrame(before, "fc int, fp bigint, before bigint")
+
+    order = Window.partitionBy("cell", "part").orderBy("place", "id", "text_crc32", "size")
     ranked = rows.withColumn("rank", F.row_number().over(order) - 1)
+    if hot:
+        ranked = ranked.join(F.broadcast(first), (F.col("cell") == F.col("fc")) & (F.col("part") == F.col("fp")), "left")
+        ranked = ranked.withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
     hit = (F.col("cell") == F.col("c")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     out = ranked.join(F.broadcast(plan), hit)
     return out.select("id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"))

@@ -64,3 +64,15 @@ def test_rows(spark):
     assert Counter((r.id, r.text_crc32, r.shard) for r in again) == Counter((r.id, r.text_crc32, r.shard) for r in got)
     assert sharding.shard_rows(df.limit(0)).count() == 0
     assert sharding.shard_rows(df.limit(1)).count() == 1
+
+
+def test_an_id_that_a_third_of_all_rows_have(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") + 100).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("same")).otherwise(F.col("id").cast("string")).alias("text"))
+    got = sharding.shard_rows(df.repartition(5), 16, slack=0.0).collect()
+    assert len(got) == 6000
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(375)) for v in slots.values()) and len(slots) == 16
+    wide = sharding.shard_rows(df, 16, slack=0.25)
+    assert wide.count() == 6000 and wide.groupBy("shard", "slot").count().filter("count > 1").isEmpty()
