@@ -46,6 +46,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fewer(df: DataFrame, share: int = 8) -> DataFrame:
+    """For results far smaller than what they are made of: one task, and file, for ``share`` partitions.
+
+    At least four tasks a core stay; what has no more partitions than that is left alone.
+    """
+    now = df.rdd.getNumPartitions()
+    least = max(4 * df.sparkSession.sparkContext.defaultParallelism, now // share)
+    return df.coalesce(least) if now >= 2 * least else df
+
+
 def written(spark: SparkSession) -> list[str]:
     """All scratch paths of this application so far, oldest first."""
     return _written.setdefault(spark.sparkContext.applicationId, [])

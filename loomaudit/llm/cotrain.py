@@ -142,8 +142,8 @@ def _lookup(vocabulary: np.ndarray, h: np.ndarray, first: np.ndarray) -> list[np
         return [np.zeros(0, np.int64)] * (len(first) - 1)
     at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
     hit = vocabulary[at] == h
-    cut = np.concatenate([[0], np.cumsum(hit)])[first]
-    return [at[hit][a:b] for a, b in zip(cut[:-1], cut[1:])]
+    cut, found = np.concatenate([[0], np.cumsum(hit)])[first], at[hit]
+    return [found[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
 class View:
@@ -296,7 +296,7 @@ def fit(
                 packed = [pa.array([x.astype(np.int32).tobytes() for x in f], pa.binary()) for f in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), *packed], ["id", "a", "b"])
 
-    table = common.materialise(rows.mapInArrow(featurise, f"id {kind}, a binary, b binary"), "features")
+    table = common.materialise(common.fewer(rows).mapInArrow(featurise, f"id {kind}, a binary, b binary"), "features")
     check = np.arange(len(known)) % 5 == 0  # held out for calibration
     views: dict[str, tuple[View, View]] = {}
     for t in targets:
@@ -310,7 +310,8 @@ def fit(
 
     if views and rounds:
         free = table.join(marked.select("id"), "id", "left_anti").select("a", "b").distinct()  # copies count once
-        free = common.materialise(free.withColumn("tie", F.xxhash64("a", "b")), "unlabelled")
+        free = free.withColumn("tie", F.xxhash64("a", "b"))
+        free = common.materialise(free.coalesce(max(table.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)), "unlabelled")
         taken: dict[str, set] = {t: set() for t in views}
         for _ in range(rounds):
             handed = _exchange(free, views, taken, per_round, float(np.log(confidence / (1 - confidence))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -195,5 +195,43 @@ def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", nothing)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op2_substring": op2_substring, "op3_toolcalls": op3_toolcalls, "op4_cotrain": op4_cotrain, "op5_packing": op5_packing, "op6_warc": op6_warc, "op7_lm": op7_lm, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_ring": op10_ring}
-ORACLES: dict[str, str] = {"op2_substring": OP2_SQL, "op3_toolcalls": OP3_SQL, "op6_warc": OP6_SQL, "op8_decontaminate": OP8_SQL}
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact part of the language model's scores, on a split that SQL can express."""
+    from .lm import score_texts
+
+    found = score_texts(_table(spark, sf_dir, "documents"), F.col("doc_id") % 5 != 1)
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+LM_BASE_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_append(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ') AS words FROM documents
+), t AS (SELECT doc_id, unnest(words) AS x FROM w), c AS (
+  SELECT x, count(*) AS c FROM t WHERE doc_id % 5 <> 1 GROUP BY x
+), n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, count(*)::BIGINT AS n_tokens, count(c)::BIGINT AS n_known, any_value(n) AS train_tokens,
+  round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c USING (x), n GROUP BY doc_id
+"""
+
+
+def ring_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, slots and bytes of the 16 shards: the law ``rows``, and that no row is lost."""
+    from .sharding import shard_rows
+
+    found = shard_rows(_table(spark, sf_dir, "documents"), shards=16, slack=0.0).groupBy("shard")
+    found = found.agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last"), F.sum("size").alias("bytes"))
+    total = F.sum("bytes").over(Window.partitionBy())  # 16 rows
+    return found.select("shard", "n", "slots", "last", total.alias("total_bytes"))
+
+
+RING_BALANCE_SQL = """
+WITH d AS (SELECT count(*) AS n, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS b FROM documents),
+s AS (SELECT i::INT AS shard, (n // 16 + CASE WHEN i < n % 16 THEN 1 ELSE 0 END)::BIGINT AS k, b FROM d, unnest(range(16)) AS r(i))
+SELECT shard, k AS n, k AS slots, k - 1 AS last, b AS total_bytes FROM s
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op2_substring": op2_substring, "op3_toolcalls": op3_toolcalls, "op4_cotrain": op4_cotrain, "op5_packing": op5_packing, "op6_warc": op6_warc, "op7_lm": op7_lm, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash, "op10_ring": op10_ring, "lm_base": lm_base, "ring_balance": ring_balance}
+ORACLES: dict[str, str] = {"op2_substring": OP2_SQL, "op3_toolcalls": OP3_SQL, "op6_warc": OP6_SQL, "op8_decontaminate": OP8_SQL, "lm_base": LM_BASE_SQL, "ring_balance": RING_BALANCE_SQL}
