@@ -95,13 +95,19 @@ class Logistic:
         return np.bincount(np.repeat(np.arange(len(rows)), size), self.w[flat], len(rows)) + self.b
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray) -> Logistic:
+        """Rows with equal features are one, with their number as weight and their mean as target."""
+        place: dict[bytes, int] = {}
+        which = np.array([place.setdefault(np.asarray(r, np.int32).tobytes(), len(place)) for r in rows], np.int64)
+        rows = [np.frombuffer(k, np.int32) for k in place]
+        weight = np.bincount(which, minlength=len(rows)).astype(float)
+        mean = np.bincount(which, y, len(rows)) / weight
         size = np.array([len(r) for r in rows], np.int64)
-        flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-        owner = np.repeat(np.arange(len(rows)), size)
+        flat = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
+        owner, total = np.repeat(np.arange(len(rows)), size), weight.sum()
         m, v = np.zeros(len(self.w) + 1), np.zeros(len(self.w) + 1)
         for t in range(1, self.steps + 1):
-            error = _sigmoid(np.bincount(owner, self.w[flat], len(rows)) + self.b) - y
-            grad = np.append(np.bincount(flat, error[owner], len(self.w)) / len(y) + self.l2 * self.w, error.mean())
+            error = weight * (_sigmoid(np.bincount(owner, self.w[flat], len(rows)) + self.b) - mean)
+            grad = np.append(np.bincount(flat, error[owner], len(self.w)) / total + self.l2 * self.w, error.sum() / total)
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             step = self.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             self.w, self.b = self.w - step[:-1], self.b - step[-1]
@@ -152,8 +158,13 @@ class View:
     def __init__(self, rows: list[np.ndarray], y: np.ndarray, width: int, held: tuple[list[np.ndarray], np.ndarray]):
         self.rows, self.y, self.width, self.held = list(rows), list(y), width, held
 
-    def train(self) -> View:
-        self.model = Logistic(self.width).fit(self.rows, np.array(self.y, float))
+    def train(self, again: int = 80) -> View:
+        """Fit; a later fit starts from the one before and takes ``again`` steps."""
+        before = getattr(self, "model", None)
+        model = Logistic(self.width) if before is None else Logistic(self.width, steps=again, rate=0.05)
+        if before is not None:
+            model.w, model.b = before.w, before.b
+        self.model = model.fit(self.rows, np.array(self.y, float))
         self.slope, self.offset = platt(self.model.raw(self.held[0]), self.held[1])
         return self
 
