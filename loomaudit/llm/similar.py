@@ -15,15 +15,17 @@ itself is always that of the ``k``-word sets.  Recall as simulated (400 pairs a
 inserted block 0.81 at 0.8, 0.92 at 0.85, 0.99 at 0.9, 0.998 at 0.95.
 
 Keys are packed and dealt by their hash.  Each entry carries 24 more bits of fingerprint and
-the size of the set, so texts that merely share a key are told apart before any pair exists.
-In a bucket of at most ``bucket`` texts all pairs are looked at; in a larger one (hundreds of
-copies of one text) each text meets the smallest class and its neighbour in order of the 24
-bits, first in the task that made the keys, which passes on one entry of such a group, then
-over all tasks.  So the work is linear in a group.  Two texts of a large group that are alike
-but meet in none of their common buckets are not compared; they share a dozen keys as a rule.
-
-Links to the smallest candidate of each text are verified first, and of the other candidates
-only those that this leaves in different components.
+the size of the set, so texts that merely share a key are told apart.  A text is asked about if
+it meets another one in a bucket; in a bucket of more than ``bucket`` texts all are.
+
+Among the texts asked about every pair at ``least`` is found, by prefixes: the shingles of a text in
+a fixed order, rare ones first, as a table of counts has them; two similar texts share one of
+the first ``|x| - least * |x| + 1`` shingles of both, at places that leave room for the rest.
+Texts that share such a shingle are paired and verified.  In a large group, where more than ``bucket``
+texts share one, each first meets the text in which the fewest rarer shingles precede it, which
+is the least edited one; then all texts that this leaves in different components are paired, so
+no link is lost and a group costs linear work as a rule.  The table of counts only decides how
+much work there is: any order finds the same pairs.
 
 Defined cases: words are lower-cased; fewer than ``k`` words are one shingle; null texts,
 empty texts and texts without words have the empty set and are copies of each other; texts
@@ -96,71 +98,43 @@ def _sketches(k: int, by: int):
     return run
 
 
-_PACKED = "seg int, keys binary, classes binary, checks binary, pairs binary"
-
+_PACKED = "seg int, keys binary, classes binary, checks binary, marks binary"
 
-def _joined(keys: np.ndarray, classes: np.ndarray, checks: np.ndarray, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs that pass the check bits, and a mask of entries that stand for their whole bucket or are in a small one.
 
-    Entries are sorted by key, then check bits, then class.
-    """
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted keys: each entry's place in its bucket, and the bucket's size."""
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     head = np.flatnonzero(new)
     size = np.diff(np.append(head, len(keys)))
-    place = (np.arange(len(keys)) - np.repeat(head, size)).astype(np.int32)
-    large = np.repeat(size > bucket, size)
-    names, code = np.unique(classes, return_inverse=True)
-    low = np.minimum.reduceat(code, head) if len(head) else code
-    first = np.flatnonzero(code == np.repeat(low, size))
-    which = np.cumsum(new) - 1
-    hub = np.zeros(len(head), np.int64)
-    hub[which[first[::-1]]] = first[::-1]
-    found = []
-
-    def meet(a: np.ndarray, b: np.ndarray) -> None:
-        x, y = checks[a], checks[b]
-        near = np.bitwise_count((x ^ y) >> np.uint32(8)) <= _FAR
-        near &= np.abs((x & np.uint32(0xFF)).astype(np.int16) - (y & np.uint32(0xFF)).astype(np.int16)) <= _SIZES
-        a, b = code[a[near]], code[b[near]]
-        pair = np.minimum(a, b) * len(names) + np.maximum(a, b)
-        found.append(np.unique(pair[a != b]))
-
-    many = np.flatnonzero(large)
-    meet(hub[which[many]], many)
-    rows = np.flatnonzero(place > 0)
-    for d in range(1, bucket):
-        rows = rows[(place[rows] >= d) & (~large[rows] | (d == 1))]
-        if not len(rows):
-            break
-        meet(rows - d, rows)
-    pairs = np.unique(np.concatenate(found))
-    return names[pairs // max(1, len(names))], names[pairs % max(1, len(names))], ~large | (np.arange(len(keys)) == hub[which])
+    return np.arange(len(keys)) - np.repeat(head, size), np.repeat(size, size)
+
+
+def _dealt(seg: np.ndarray, columns: list[np.ndarray]) -> tuple[pa.Array, list[pa.Array]]:
+    """Sorted segments, and each column as one packed run for each of them."""
+    cut = np.flatnonzero(np.diff(seg, prepend=-1))
+    hi = [*cut[1:], len(seg)]
+    return pa.array(seg[cut].astype(np.int32)), [pa.array([x[lo:up].tobytes() for lo, up in zip(cut, hi)], pa.binary()) for x in columns]
 
 
 def _keyed(bits: int, bucket: int, most: int = 1024):
-    """Packed keys of classes; groups that are large within a run are paired there and passed on as one entry."""
+    """Packed keys of classes; of a bucket that is large within a run so many go on that it stays large, and the others are met."""
     i, j = np.triu_indices(SEGMENTS, 1)
     pair_no = (np.arange(len(i), dtype=np.int64) << 24)[None, :]
 
     def flush(golay, prints: list, classes: list, sizes: list) -> Iterator[pa.RecordBatch]:
         code, rest = indices(np.concatenate(prints), golay)
-        one, size = np.concatenate(classes), np.concatenate(sizes)
+        one, size = (np.concatenate(classes).view(ts.U) >> ts.U(32)).astype(np.uint32), np.concatenate(sizes)
         step = np.minimum(np.rint(np.log(np.maximum(size, 1)) / np.log(1.05)), 255).astype(np.int64)
+        check = (rest << 8 | step).astype(np.uint32)
         key = ts.mix((pair_no | code[:, i] << 12 | code[:, j]).ravel().view(ts.U))
-        who = np.repeat(np.arange(len(one)), len(i))
-        order = np.lexsort((one[who], rest[who], key))
-        key, who = key[order], who[order]
-        klass, check = one[who], (rest[who] << 8 | step[who]).astype(np.uint32)
-        a, b, kept = _joined(key, klass, check, bucket)
-        key, klass, check = key[kept], klass[kept], check[kept]
-        seg = (key >> ts.U(64 - bits)).astype(np.int64)
-        short = (key >> ts.U(32 - bits)).astype(np.uint32)
-        cut = np.flatnonzero(np.diff(seg, prepend=-1))
-        hi = [*cut[1:], len(seg)]
-        packs = [pa.array([x[lo:up].tobytes() for lo, up in zip(cut, hi)], pa.binary()) for x in (short, klass, check)]
-        pairs = [np.stack([a, b], 1).astype("<i8").tobytes(), *[b""] * (len(cut) - 1)]  # they only travel with a segment
-        yield pa.RecordBatch.from_arrays([pa.array(seg[cut].astype(np.int32)), *packs, pa.array(pairs, pa.binary())], ["seg", "keys", "classes", "checks", "pairs"])
+        order = np.argsort(key, kind="stable")
+        key, who = key[order], order // len(i)
+        kept = _places(key)[0] <= bucket
+        marks = np.unique(one[who[~kept]])
+        key, who = key[kept], who[kept]
+        seg, packs = _dealt((key >> ts.U(64 - bits)).astype(np.int64), [(key >> ts.U(32 - bits)).astype(np.uint32), one[who], check[who]])
+        yield pa.RecordBatch.from_arrays([seg, *packs, pa.array([marks.tobytes(), *[b""] * (len(seg) - 1)], pa.binary())], ["seg", "keys", "classes", "checks", "marks"])  # they only travel with a segment
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay, held, n = simhash.Golay(), ([], [], []), 0
@@ -180,21 +154,40 @@ def _keyed(bits: int, bucket: int, most: int = 1024):
     return run
 
 
-def _buckets(bucket: int):
+def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+
+
+def _met(bucket: int, bits: int):
+    """The classes (their upper halves) that meet another one in a bucket of this segment, dealt anew."""
+
     def run(seg: int, table: pa.Table) -> pa.Table:
-        keys, classes, checks = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("keys", np.uint32), ("classes", np.int64), ("checks", np.uint32)))
-        order = np.lexsort((classes, checks >> np.uint32(8), keys))
-        a, b, _ = _joined(keys[order], classes[order], checks[order], bucket)
-        pairs = np.frombuffer(b"".join(table.column("pairs").to_pylist()), "<i8").reshape(-1, 2)
-        return pa.table({"a": pa.array(np.concatenate([a, pairs[:, 0]])), "b": pa.array(np.concatenate([b, pairs[:, 1]]))})
+        keys, classes, checks = (_joined(table, c, np.uint32) for c in ("keys", "classes", "checks"))
+        order = np.argsort(keys, kind="stable")
+        keys, classes, checks = keys[order], classes[order], checks[order]
+        place, size = _places(keys)
+        met = size > bucket
+        rows = np.flatnonzero(~met & (place > 0))
+        for d in range(1, bucket):
+            rows = rows[place[rows] >= d]
+            if not len(rows):
+                break
+            x, y = checks[rows], checks[rows - d]
+            near = np.bitwise_count((x ^ y) >> np.uint32(8)) <= _FAR
+            near &= np.abs((x & np.uint32(0xFF)).astype(np.int16) - (y & np.uint32(0xFF)).astype(np.int16)) <= _SIZES
+            met[rows[near]] = met[rows[near] - d] = True
+        found = np.unique(np.concatenate([classes[met], _joined(table, "marks", np.uint32)]))
+        seg, packs = _dealt((found >> np.uint32(32 - bits)).astype(np.int64), [found])
+        return pa.table([seg, *packs], ["seg", "classes"])
 
     return run
 
 
-def candidates(classes: DataFrame, bucket: int, bits: int) -> DataFrame:
-    """Distinct pairs ``a < b`` of rows ``class, size, print`` that share a key and pass the check bits."""
-    made = classes.select("class", "size", "print").mapInArrow(_keyed(bits, bucket), _PACKED)
-    return segments.by_segment(made, _buckets(bucket), "a bigint, b bigint").distinct()
+def asked_about(classes: DataFrame, bucket: int, n: int) -> DataFrame:
+    """``half``: the upper 32 bits of the classes, of ``n`` rows ``class, size, print``, that share a key with another one and pass the check bits."""
+    made = classes.select("class", "size", "print").mapInArrow(_keyed(segments.segment_bits(n * 12 * SEGMENTS * (SEGMENTS - 1) // 2), bucket), _PACKED)
+    met = segments.by_segment(made, _met(bucket, segments.segment_bits(n * 4)), "seg int, classes binary")
+    return segments.by_segment(met, lambda seg, table: pa.table({"half": pa.array(np.unique(_joined(table, "classes", np.uint32)).astype(np.int64))}), "half bigint")
 
 
 def _gram_sets(k: int):
@@ -208,6 +201,156 @@ def _gram_sets(k: int):
     return run
 
 
+_PARTS, _SLOTS = 10, 22  # bits of the number of parts and of slots of the table of counts
+
+
+def _slots(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (ts.mix(grams) >> ts.U(64 - bits)).astype(np.int64)
+
+
+def counted(sets: DataFrame, n_grams: int) -> np.ndarray:
+    """A table of counts of shingles: a shingle's slot holds the sum over all shingles of the slot, 65,535 at most."""
+    bits = max(_PARTS, min(_SLOTS, n_grams.bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits, np.uint16)
+        for batch in batches:
+            grams = batch.column(0).flatten().to_numpy().view(ts.U)
+            for lo in range(0, len(grams), 1 << 20):
+                slot, n = np.unique(_slots(grams[lo : lo + (1 << 20)], bits), return_counts=True)
+                held[slot] = np.minimum(held[slot] + n, 0xFFFF)
+        parts = held.reshape(1 << _PARTS, -1)
+        full = np.flatnonzero(parts.any(1))
+        if len(full):
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([parts[k].tobytes() for k in full], pa.binary())], ["seg", "counts"])
+
+    def add(seg: int, table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << bits - _PARTS, np.uint32)
+        for x in table.column("counts"):
+            total += np.frombuffer(x.as_buffer(), np.uint16)
+        return pa.table({"seg": pa.array([seg], pa.int32()), "counts": pa.array([np.minimum(total, 0xFFFF).astype(np.uint16).tobytes()], pa.binary())})
+
+    out = np.zeros((1 << _PARTS, 1 << bits - _PARTS), np.uint16)
+    for row in segments.by_segment(sets.select("grams").mapInArrow(run, "seg int, counts binary"), add, "seg int, counts binary").toLocalIterator():
+        out[row.seg] = np.frombuffer(row.counts, np.uint16)
+    return out.ravel()
+
+
+_POSTING = np.dtype([("key", "<u8"), ("class", "<i8"), ("root", "<i8"), ("size", "<u4"), ("pos", "<u4")])
+_FIRST = _POSTING.descr[:2] + _POSTING.descr[3:]
+_EPS = 1e-9
+
+
+def _postings(counts, bits: int, least: float, over: int, kind: np.dtype, most: int = 1 << 19):
+    """The prefixes of rows ``class, root, grams``, dealt by shingle; shingles counted ``over`` times or less are left out."""
+
+    def flush(classes: list, roots: list, grams: list) -> Iterator[pa.RecordBatch]:
+        size = np.array([len(g) for g in grams])
+        gram, doc = np.concatenate(grams).view(ts.U), np.repeat(np.arange(len(size)), size)
+        often = counts.value[_slots(gram, len(counts.value).bit_length() - 1)]
+        order = np.lexsort((gram, often, doc))  # by text, rare shingles first
+        pos = np.arange(len(gram)) - np.repeat(np.cumsum(size) - size, size)
+        prefix = size - np.ceil(least * size - _EPS).astype(np.int64) + 1
+        kept = (pos < prefix[doc]) & (often[order] > over)
+        gram, doc, pos = gram[order][kept], doc[kept], pos[kept]
+        order = np.argsort(gram >> ts.U(64 - bits), kind="stable")
+        gram, doc, pos = gram[order], doc[order], pos[order]
+        rows = np.zeros(len(gram), kind)
+        rows["key"], rows["class"], rows["size"], rows["pos"] = gram, np.array(classes)[doc], size[doc], pos
+        if "root" in kind.names:
+            rows["root"] = np.array(roots)[doc]
+        if len(rows):
+            seg, packs = _dealt((gram >> ts.U(64 - bits)).astype(np.int64), [rows])
+            yield pa.RecordBatch.from_arrays([seg, *packs], ["seg", "postings"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = ([], [], []), 0
+        for batch in batches:
+            ends, grams = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            for k, (klass, root) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                held[0].append(klass)
+                held[1].append(root)
+                held[2].append(grams[ends[k] : ends[k + 1]])
+                n += int(ends[k + 1] - ends[k])
+                if n >= most:
+                    yield from flush(*held)
+                    held, n = ([], [], []), 0
+        if held[0]:
+            yield from flush(*held)
+
+    return run
+
+
+def _room(e: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether entries that share a shingle, and none before it, may be alike by their sizes and places."""
+    x, y = e[a], e[b]
+    n, m = x["size"].astype(np.int64), y["size"].astype(np.int64)
+    need = np.ceil(least / (1 + least) * (n + m) - _EPS)
+    return (x["class"] != y["class"]) & (np.minimum(n, m) >= least * np.maximum(n, m) - _EPS) & (np.minimum(n - x["pos"], m - y["pos"]) >= need)
+
+
+def _pairs(e: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (e["class"][np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)])] for k in (0, 1))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _first(bucket: int, least: float):
+    """Pairs of the small buckets, and each text of a large one with the least edited; a row of nulls tells that there are large ones."""
+
+    def run(seg: int, table: pa.Table) -> pa.Table:
+        e = _joined(table, "postings", _FIRST)
+        e = e[np.lexsort((e["class"], e["pos"], e["key"]))]
+        place, size = _places(e["key"])
+        large, found = np.flatnonzero((size > bucket) & (place > 0)), []
+        rows = np.flatnonzero((size <= bucket) & (place > 0))
+        for d in range(1, bucket):
+            rows = rows[place[rows] >= d]
+            if not len(rows):
+                break
+            ok = _room(e, rows - d, rows, least)
+            found.append((rows[ok] - d, rows[ok]))
+        ok = _room(e, large - place[large], large, least)
+        found.append(((large - place[large])[ok], large[ok]))
+        more = [None] if len(large) else []
+        a, b = _pairs(e, found)
+        return pa.table({"a": pa.array([*a.tolist(), *more], pa.int64()), "b": pa.array([*b.tolist(), *more], pa.int64())})
+
+    return run
+
+
+def _second(bucket: int, least: float, most: int = 1 << 19):
+    """All pairs of the large buckets that are in different components."""
+
+    def run(seg: int, table: pa.Table) -> pa.Table:
+        e = _joined(table, "postings", _POSTING)
+        e = e[np.lexsort((e["root"], e["key"]))]
+        place, size = _places(e["key"])
+        found = []
+        for lo in np.flatnonzero((place == 0) & (size > bucket)).tolist():
+            hi = lo + int(size[lo])
+            names, n = np.unique(e["root"][lo:hi], return_counts=True)
+            if len(names) == 1:
+                continue
+            few = lo + np.flatnonzero(e["root"][lo:hi] != names[n.argmax()])  # every pair has one outside the largest component
+            step = max(1, most // (hi - lo))
+            for at in range(0, len(few), step):
+                part = few[at : at + step]
+                a, b = np.nonzero(e["root"][part][:, None] != e["root"][lo:hi][None])
+                a, b = part[a], b + lo
+                ok = _room(e, a, b, least)
+                found.append((a[ok], b[ok]))
+            if sum(len(f[0]) for f in found) > 4 * most:
+                a, b = _pairs(e, found)
+                first = np.unique(e["class"], return_index=True)
+                at = [first[1][np.searchsorted(first[0], v)] for v in (a, b)]
+                found = [(at[0], at[1])]
+        a, b = _pairs(e, found)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return run
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs ``a, b`` of at least this similarity."""
     one = common.fresh_join(pairs, sets.select(F.col("class").alias("a"), F.col("grams").alias("ga")), ["a"])
@@ -228,23 +371,29 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, by: int = 2, bu
     since = len(common.written(docs.sparkSession))
     classes = common.materialise(classes, "classes")
     n = classes.count()
-    pairs = common.materialise(candidates(classes, bucket, segments.segment_bits(n * 16 * SEGMENTS * (SEGMENTS - 1) // 2)), "candidates")
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    asked = common.materialise(common.fresh_join(classes.select("class", "text"), asked, ["class"]).select("text"), "asked")
+    asked = common.materialise(asked_about(classes, bucket, n), "met")
+    halves = classes.select(F.shiftrightunsigned("class", 32).alias("half"), "text")
+    asked = common.materialise(common.fresh_join(halves, asked, ["half"]).select("text"), "asked")
     plain = rows.select(F.col("tag.text").alias("text"), "t")
     maybe = plain.filter(segments.may_be_among(plain, F.col("text"), asked))
     texts = maybe.groupBy("text").agg(F.any_value("t").alias("t"))  # copies of a text meet map-side first
     sets = common.materialise(texts.join(asked, "text", "left_semi").select("t").mapInArrow(_gram_sets(k), "class bigint, grams array<bigint>"), "sets")
 
-    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = common.materialise(_verified(nearest, sets, least), "nearest")
+    n_grams = sets.agg(F.sum(F.size("grams"))).first()[0] or 0
+    counts = docs.sparkSession.sparkContext.broadcast(counted(sets, n_grams))
+    bits = segments.segment_bits(n_grams * _POSTING.itemsize // 4)
+    plain = sets.select("class", F.col("class").alias("root"), "grams")
+    made = plain.mapInArrow(_postings(counts, bits, least, 1, np.dtype(_FIRST)), "seg int, postings binary")
+    pairs = common.materialise(segments.by_segment(made, _first(bucket, least), "a bigint, b bigint").distinct(), "pairs")
+    links = common.materialise(_verified(pairs.filter("a is not null"), sets, least), "first")
     root = common.components(links)
-    tied = pairs.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    rest = tied.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    more = common.materialise(_verified(rest, sets, least), "others")
-    if more.head(1):
-        root = common.components(links.unionByName(more))
-        common.keep_last(docs.sparkSession, since)
+    if pairs.filter("a is null").head(1):
+        tied = sets.join(root.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "grams")
+        made = tied.mapInArrow(_postings(counts, bits, least, min(bucket, 0xFFFE), _POSTING), "seg int, postings binary")
+        rest = common.materialise(segments.by_segment(made, _second(bucket, least), "a bigint, b bigint").distinct(), "rest")
+        more = common.materialise(_verified(rest, sets, least), "others")
+        if more.head(1):
+            root = common.components(links.unionByName(more))
+            common.keep_last(docs.sparkSession, since)
     named = known.select("tag.id", "tag.row", "class").join(root.withColumnRenamed("node", "class"), "class", "left")
     return named.select("id", "row", F.coalesce("root", "class").alias("component"))

@@ -111,3 +111,17 @@ def test_null_ids_repeated_rows_and_clashing_names(spark):
     for r in got:
         groups.setdefault(r.component, []).append(r.id or 0)
     assert sorted(map(sorted, groups.values())) == [[0], [0, 0, 5], [5, 5]]
+
+
+@pytest.mark.parametrize("bucket", [4, 32])
+def test_no_link_of_a_large_group_is_lost(spark, bucket):
+    """300 edits of one text, alike to a part of the others only: what meets no first text and no neighbour is found too."""
+    rng = random.Random(1)
+    words, texts = [f"w{rng.randrange(900)}" for _ in range(120)], []
+    for _ in range(300):
+        copy = list(words)
+        for at in rng.sample(range(120), 2):
+            copy[at] = f"e{rng.random()}"
+        texts.append(" ".join(copy))
+    want = brute(texts)
+    assert parts(spark, texts, bucket=bucket) == want and len(want) > 50
