@@ -258,7 +258,7 @@ def _corners(strip: np.ndarray, heights: np.ndarray, apart: int) -> np.ndarray:
 
 
 _POINT = np.dtype([("y", "<u4"), ("x", "<u2"), ("scale", "u1"), ("turn", "u1"), ("bits", "<u8")])
-_ENTRY = np.dtype([("key", "<u4"), ("class", "<i8"), ("y", "<u4"), ("x", "<u2"), ("place", "u1"), ("turn", "u1"), ("bits", "<u8")])  # place: scale and band
+_ENTRY = np.dtype([("class", "<i8"), ("y", "<u4"), ("x", "<u2"), ("place", "u1"), ("turn", "u1"), ("bits", "<u8")])  # place: scale and band
 _LINK = np.dtype([("key", "<u8"), ("class", "<i8")])
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 _PACKED = "seg int, entries binary, runs binary, pairs binary"
@@ -270,6 +270,10 @@ def _cut(bits: np.ndarray) -> list[np.ndarray]:
     return [bits >> ts.U(lo) & ts.U((1 << hi - lo) - 1) for lo, hi in zip(edges[:-1], edges[1:])]
 
 
+def _band_key(value: np.ndarray, k: int) -> np.ndarray:
+    return ts.mix(value << ts.U(2) | ts.U(k))
+
+
 def _star(links: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For entries of one key: each class with the smallest, and the smallest of each key."""
     links = np.unique(links)  # by key, then class
@@ -288,9 +292,8 @@ def _packs(classes: np.ndarray, image: np.ndarray, found: np.ndarray, bits: int,
         part["class"], part["place"] = klass, found["scale"] | k << 6
         for name in ("y", "x", "turn", "bits"):
             part[name] = found[name]
-        hashes.append(ts.mix(value << ts.U(2) | ts.U(k)))
+        hashes.append(_band_key(value, k))
     hashes = np.concatenate(hashes)
-    entries["key"] = (hashes >> ts.U(32 - bits)).astype(np.uint32)
     # corners that follow each other in one image and scale
     m = max(0, n - votes + 1)
     same = (image[:m] == image[n - m :]) & (found["scale"][:m] == found["scale"][n - m :])
@@ -332,22 +335,26 @@ def _keyed(bits: int, votes: int, most: int = 1 << 16):
     return run
 
 
-_MATCH = "p bigint, q bigint, ds int, dt int, cx bigint, cy bigint, spot bigint"
+_MATCH = "p bigint, q bigint, ds int, dt int, hx bigint, hy bigint, spot bigint"
 
 
 def _matches(distance: int, bucket: int, step: int):
     """Verified matches of entries in the buckets of one segment, as votes; links of joint keys have no transform.
 
     A match states a change of scale, a turn, and where the other image's origin then lies;
-    turn and origin are voted for in a grid and in the same grid moved by half a cell.
+    the origin is given in halves of a cell of ``step`` pixels.
     """
 
     def run(seg: int, table: pa.Table) -> pa.Table:
         join = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
         e = join("entries", _ENTRY)
-        e = e[np.lexsort((e["class"], e["bits"], e["key"]))]
+        key, band = np.zeros(len(e), ts.U), e["place"] >> 6
+        for k, value in enumerate(_cut(e["bits"])):
+            key[band == k] = _band_key(value[band == k], k)
+        order = np.lexsort((e["class"], e["bits"], key))
+        e, key = e[order], key[order]
         new = np.ones(len(e), bool)
-        new[1:] = e["key"][1:] != e["key"][:-1]
+        new[1:] = key[1:] != key[:-1]
         head = np.flatnonzero(new)
         size = np.diff(np.append(head, len(e)))
         place, large = np.arange(len(e)) - np.repeat(head, size), np.repeat(size > bucket, size)
@@ -373,11 +380,8 @@ def _matches(distance: int, bucket: int, step: int):
         sx = b["x"] - zoom * (np.cos(angle) * ax - np.sin(angle) * ay)
         sy = b["y"] - zoom * (np.cos(angle) * ay + np.sin(angle) * ax)
         spot = (a["y"].astype(np.int64) // 4) << 32 | a["x"].astype(np.int64) // 4
-        rows = []
-        for g in (0, 1):
-            cells = [np.floor((v + g * step / 2) / step).astype(np.int64) * 2 + g for v in (sx, sy)]
-            rows.append(np.stack([a["class"], b["class"], ds, (dt + 2 * g) // 4 % (TURNS // 4) * 2 + g, *cells, spot], 1))
-        rows = np.unique(np.concatenate(rows), axis=0)
+        half = [np.floor(v / (step / 2)).astype(np.int64) for v in (sx, sy)]
+        rows = np.unique(np.stack([a["class"], b["class"], ds, dt, *half, spot], 1), axis=0)
         p, q, _ = _star(join("runs", _LINK))
         pairs = join("pairs", _PAIR)
         p, q = np.concatenate([p, pairs["a"]]), np.concatenate([q, pairs["b"]])
@@ -395,7 +399,12 @@ def links(known: DataFrame, votes: int = 5, distance: int = 5, bucket: int = 32,
     bits = segments.segment_bits(total * BANDS * _ENTRY.itemsize // _POINT.itemsize)
     made = known.select("class", "points").mapInArrow(_keyed(bits, votes), _PACKED)
     match = common.materialise(segments.by_segment(made, _matches(distance, bucket, step), _MATCH), "matches")
-    tally = match.filter("spot is not null").distinct().groupBy("p", "q", "ds", "dt", "cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") >= votes)
+    # turn and origin are voted for in a grid and in the same grid moved by half a cell; all votes of a pair meet in one shuffle
+    votes_of = match.filter("spot is not null").repartition("p", "q").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("g"))
+    cell = lambda h: F.floor((F.col(h) + F.col("g")) / 2).alias("c" + h)
+    turn = (F.floor((F.col("dt") + 2 * F.col("g")) / 4) % (TURNS // 4)).alias("turn")
+    cells = votes_of.select("p", "q", "g", "ds", turn, cell("hx"), cell("hy"), "spot").distinct()
+    tally = cells.groupBy("p", "q", "g", "ds", "turn", "chx", "chy").agg(F.count("*").alias("n")).filter(F.col("n") >= votes)
     joint = match.filter("spot is null").select("p", "q")
     return tally.select("p", "q").unionByName(joint).distinct().select(F.col("p").alias("a"), F.col("q").alias("b"))
 

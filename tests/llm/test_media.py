@@ -142,3 +142,21 @@ def test_empty_and_pages(spark):
     assert media.copies(media.page_images(none)).count() == 0
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "<p>a b</p>c\nd " * 40), (3, "x")], "page_id bigint, html string")
     assert media.copies(media.page_images(pages)).count() == 4
+
+
+def test_a_match_is_one_row_and_an_entry_is_small():
+    """What is dealt and written for each match, whose votes in both grids are made afterwards."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    found = media.describe([media.decode(png(scene("noise", k))) for k in (1, 1)])
+    points = np.zeros(len(found), media._POINT)
+    for k, name in enumerate(media._POINT.names, 1):
+        points[name] = found[:, k].view(np.uint64) if name == "bits" else found[:, k]
+    dealt = pa.Table.from_batches(media._packs(np.array([5, 9]), found[:, 0], points, 6, 5))
+    assert sum(len(x) for x in dealt.column("entries").to_pylist()) == 24 * media.BANDS * len(found)
+    rows = sum(len(media._matches(5, 32, 24)(seg, dealt.filter(pc.equal(dealt.column("seg"), seg))).column("spot").drop_null()) for seg in dealt.column("seg").to_pylist())
+    one, two = (points[found[:, 0] == k] for k in (0, 1))
+    differ = one["bits"][:, None] ^ two["bits"][None]
+    alike = (np.bitwise_count(differ) <= 5) & np.any([v == 0 for v in media._cut(differ)], 0)
+    assert len(one) <= rows <= alike.sum()
