@@ -54,6 +54,7 @@ END = ts.mix(np.array([0x656E64], ts.U))[0]
 LEVELS = np.array(sorted({1} | {x << k for k in range(61) for x in (2, 3)}), np.int64)
 _BITS = 8  # set in a word for each probe
 _RARE = 1e-6
+_CHUNK = 1 << 18  # bytes of text worked on at once; arrays of tokens take about twenty times as much
 
 
 def _masks() -> np.ndarray:
@@ -91,7 +92,7 @@ def _count(bits: int, order: int):
         ones, more = segments.Packer(bits, 1 << 20), segments.Packer(bits, 1 << 20)
         shift = lambda made: (b.set_column(0, "seg", pa.array(b.column(0).to_numpy() + (1 << bits))) for b in made)
         for batch in batches:
-            for _, raw, at in ts.chunks(batch, "t"):
+            for _, raw, at in ts.chunks(batch, "t", _CHUNK):
                 tokens, grams, _ = _tokens(raw, at, order)
                 yield from ones.add(tokens)
                 for g in grams:
@@ -267,6 +268,12 @@ def score_texts(
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(True)).alias("trained"), text.alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     bits = segments.segment_bits(size)
+    with common.small_batches(spark):
+        return _scored(rows, kind, bits, order, weight, words, density, group_bytes, per_token)
+
+
+def _scored(rows: DataFrame, kind: str, bits: int, order: int, weight: float, words: int, density: float, group_bytes: int, per_token: bool) -> DataFrame:
+    spark = rows.sparkSession
     packed = rows.filter("trained").select("t").mapInArrow(_count(bits, order), segments.SCHEMA)
     schema = "seg int, one binary, two binary, total bigint, distinct bigint, passed double"
     model = common.materialise(segments.by_segment(packed, _part(bits, words, density), schema), "model")
@@ -299,7 +306,11 @@ def score_texts(
             before = common.written(spark)[-1]
     run = _score(sent, bits, words, order, weight, n_train, n_kinds, passed, per_token)
     schema = f"id {kind}, trained boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return state.mapInArrow(run, schema + (", logs array<double>" if per_token else ""))
+    scored = common.materialise(state.mapInArrow(run, schema + (", logs array<double>" if per_token else "")), "scored")
+    sent.destroy()  # else executors keep a group of the model after the query
+    if before:
+        common.release(spark, [before])
+    return scored
 
 
 def _known(part: pa.RecordBatch, raw: np.ndarray, at: np.ndarray, model: dict, bits: int, words: int, order: int):
@@ -319,7 +330,7 @@ def _fill(sent, bits: int, words: int, order: int, exact: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, at in ts.chunks(batch, "t"):
+            for part, raw, at in ts.chunks(batch, "t", _CHUNK):
                 c, qs, sizes = _known(part, raw, at, sent.value, bits, words, order)
                 cut = np.cumsum(sizes)[:-1]
                 keep = exact or part.column(3).null_count == 0
@@ -333,7 +344,7 @@ def _fill(sent, bits: int, words: int, order: int, exact: bool):
 def _score(sent, bits: int, words: int, order: int, weight: float, n_train: int, n_kinds: int, passed: float, per_token: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, at in ts.chunks(batch, "t"):
+            for part, raw, at in ts.chunks(batch, "t", _CHUNK):
                 c, qs, sizes = _known(part, raw, at, sent.value, bits, words, order)
                 first = np.cumsum(sizes) - sizes
                 single, mixed = probabilities(c, qs, sizes, n_train, n_kinds, passed, weight)

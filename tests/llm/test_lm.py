@@ -128,3 +128,28 @@ def test_empty_null_and_repeated(spark):
     rows = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id bigint, text string")
     got = lm.score_texts(rows, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1).collect()
     assert len(got) == 3 and {r.train_tokens for r in got} == {9} and all(r.trained for r in got)
+
+
+def test_scoring_works_on_little_text_at_once():
+    """Besides the model a task holds some megabytes, however large its batches are."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from loomaudit.llm import lm
+
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 3000, 500)) for _ in range(1500)]
+    nothing = pa.nulls(len(texts), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([True] * len(texts)), pa.array(texts), nothing, nothing], ["id", "trained", "t", "c", "q"])
+    packed = pa.Table.from_batches(list(lm._count(1, 2)(iter([batch]))))
+    where = np.array(packed.column("seg"))
+    made = [lm._part(1, 3, 1.25)(seg, packed.filter(pa.array(where == seg))).to_pylist()[0] for seg in range(4)]
+    sent = SimpleNamespace(value=lm._load([SimpleNamespace(**r) for r in made], 1))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in lm._score(sent, 1, 3, 2, 0.8, 750_000, 3001, 1e-6, False)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and most < 14 << 20
