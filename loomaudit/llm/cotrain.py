@@ -237,7 +237,7 @@ def _vocabulary(labelled: DataFrame, targets: tuple[str, ...], least: int, most:
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *map(pa.array, sums)], ["h", *(f"n{k}_{v}" for k in range(len(targets)) for v in (1, 0))])
 
     names = [f"n{k}_{v}" for k in range(len(targets)) for v in (1, 0)]
-    made = labelled.select("t", *(f"y_{t}" for t in targets)).mapInArrow(count, "h bigint, " + ", ".join(f"{c} bigint" for c in names))
+    made = labelled.select("t", *(f"y_{t}" for t in targets)).mapInArrow(common.lean(count), "h bigint, " + ", ".join(f"{c} bigint" for c in names))
     counted = common.materialise(made.groupBy("h").agg(*(F.sum(c).alias(c) for c in names)).coalesce(8), "words")  # of the labelled rows
     sizes = labelled.agg(*(F.count_if(F.col(f"y_{t}") == v) for t in targets for v in (1, 0))).first()
     found = [np.zeros(0, ts.U)]
@@ -291,7 +291,7 @@ def fit(
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], text], [part.schema.names[0], *part.schema.names[2:], "f"])
 
     ys = ", ".join(f"y_{t} double" for t in targets)
-    known = labelled.select("id", "t", *_NAMES, *(f"y_{t}" for t in targets)).mapInArrow(learn, f"id {kind}, {_META}, {ys}, f binary")
+    known = labelled.select("id", "t", *_NAMES, *(f"y_{t}" for t in targets)).mapInArrow(common.lean(learn), f"id {kind}, {_META}, {ys}, f binary")
     known = known.orderBy(F.xxhash64("id"), "id").collect()  # most_labelled rows of at most 8 * most_words * len(targets) bytes
     truth = {t: np.array([np.nan if r[f"y_{t}"] is None else r[f"y_{t}"] for r in known]) for t in targets}
     text_rows = [np.frombuffer(r.f, np.int32) for r in known]
@@ -307,7 +307,7 @@ def fit(
                 packed = [pa.array([x.astype(np.int32).tobytes() for x in f], pa.binary()) for f in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), *packed], ["id", "a", "b"])
 
-    table = common.materialise(common.fewer(rows).mapInArrow(featurise, f"id {kind}, a binary, b binary"), "features")
+    table = common.materialise(common.fewer(rows).mapInArrow(common.lean(featurise), f"id {kind}, a binary, b binary"), "features")
     check = np.arange(len(known)) % 5 == 0  # held out for calibration
     views: dict[str, tuple[View, View]] = {}
     for t in targets:
@@ -375,7 +375,7 @@ def _exchange(free: DataFrame, views: dict, taken: dict, per_round: int, bar: fl
         if flat:
             yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*flat), types)], ["target", "view", "label", "odds", "tie", "a", "b"])
 
-    found = free.mapInArrow(sure, "target string, view int, label int, odds double, tie bigint, a binary, b binary")
+    found = free.mapInArrow(common.lean(sure), "target string, view int, label int, odds double, tie bigint, a binary, b binary")
     found = common.materialise(found.repartition(max(8, free.rdd.getNumPartitions() // 64)), "confident")  # a few rows a task
     parts = [found.filter((F.col("target") == t) & (F.col("view") == k) & (F.col("label") == y)).orderBy(F.desc("odds"), "tie", "a", "b").limit(per_round) for t in views for k in (0, 1) for y in (0, 1)]
     out: dict[str, dict] = {t: {} for t in views}
@@ -394,7 +394,7 @@ def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             cols = [[np.frombuffer(x, np.int32) for x in c.to_pylist()] for c in batch.columns[1:3]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sent.value.probabilities(*cols))], ["id", *sent.value.targets])
 
-    return table.mapInArrow(score, f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{t} double" for t in fitted.targets))
+    return table.mapInArrow(common.lean(score), f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{t} double" for t in fitted.targets))
 
 
 def classify(docs: DataFrame, fitted: Fitted, views: tuple[int, ...] = (0, 1), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -409,4 +409,4 @@ def classify(docs: DataFrame, fitted: Fitted, views: tuple[int, ...] = (0, 1), i
                 yield pa.RecordBatch.from_arrays([part.column(4), *map(pa.array, sent.value.probabilities(*found, views))], ["row", *sent.value.targets])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.select("t", *_NAMES, "row").mapInArrow(score, f"row {kind}, " + ", ".join(f"{t} double" for t in fitted.targets))
+    return rows.select("t", *_NAMES, "row").mapInArrow(common.lean(score), f"row {kind}, " + ", ".join(f"{t} double" for t in fitted.targets))

@@ -160,17 +160,17 @@ def _found(rows: DataFrame, size: int, benchmark: DataFrame, k: int, filter_byte
     kind = rows.schema["id"].dataType.simpleString()
     send = spark.sparkContext.broadcast
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
-    every = common.materialise(items.mapInArrow(_windows(k), "item string, width int, win string, shingles array<bigint>"), "windows")
+    every = common.materialise(items.mapInArrow(common.lean(_windows(k)), "item string, width int, win string, shingles array<bigint>"), "windows")
     windows = every.groupBy("win").agg(F.min("width").alias("width"), F.min("shingles").alias("shingles"))
     windows = common.materialise(windows, "distinct-windows")
     n, widths = windows.agg(F.sum(F.size("shingles")), F.collect_set("width")).first()  # at most k widths
     sizes = sorted({min(w, SHINGLE) for w in widths})
 
     seg_bits = 6
-    flat = windows.select(F.explode("shingles").alias("h")).mapInArrow(segments.pack_longs(seg_bits), segments.SCHEMA)
+    flat = windows.select(F.explode("shingles").alias("h")).mapInArrow(common.lean(segments.pack_longs(seg_bits)), segments.SCHEMA)
     known = send(segments.bloom_filter(flat, 1, segments.filter_bytes(n or 0, filter_bytes, seg_bits), seg_bits))
     bits = segments.segment_bits(size)
-    packed = rows.select("t").mapInArrow(_counted(known, seg_bits, sizes, bits), segments.SCHEMA)
+    packed = rows.select("t").mapInArrow(common.lean(_counted(known, seg_bits, sizes, bits)), segments.SCHEMA)
     frequency = common.materialise(segments.by_segment(packed, _tallied, "h bigint, n bigint"), "frequency")
 
     placed = windows.select("win", "width", F.posexplode("shingles").alias("offset", "h"))
@@ -178,9 +178,9 @@ def _found(rows: DataFrame, size: int, benchmark: DataFrame, k: int, filter_byte
     ranked = ranked.filter(F.col("c") == F.col("width") - F.least("width", F.lit(SHINGLE)) + 1)
     prefix = common.materialise(ranked.select("best.h", "best.offset", "width", "win"), "prefixes")
     first = prefix.select("h").distinct()
-    heads = send(segments.bloom_filter(first.mapInArrow(segments.pack_longs(seg_bits), segments.SCHEMA), 1, segments.filter_bytes(first.count(), filter_bytes, seg_bits), seg_bits))
+    heads = send(segments.bloom_filter(first.mapInArrow(common.lean(segments.pack_longs(seg_bits)), segments.SCHEMA), 1, segments.filter_bytes(first.count(), filter_bytes, seg_bits), seg_bits))
     schema = f"id {kind}, th bigint, n_words bigint, hits array<struct<h:bigint,at:int>>"
-    met = common.materialise(rows.select("id", "th", "t").mapInArrow(_met(heads, seg_bits, sizes), schema), "met")
+    met = common.materialise(rows.select("id", "th", "t").mapInArrow(common.lean(_met(heads, seg_bits, sizes)), schema), "met")
 
     one = met.filter(F.size("hits") > 0).groupBy("id", "th").agg(F.max("n_words").alias("n_words"), F.max("hits").alias("hits"))
     place = one.select("id", "th", "n_words", F.explode("hits").alias("x")).select("id", "th", "n_words", "x.h", "x.at")
@@ -192,7 +192,7 @@ def _found(rows: DataFrame, size: int, benchmark: DataFrame, k: int, filter_byte
     texts = rows.select("id", "th", "t").filter(segments.may_be_among(rows, key, asked.select(key.alias("key")), filter_bytes)).dropDuplicates(["id", "th"])
     same = texts["id"].eqNullSafe(asked["id"]) & (texts["th"] == asked["th"])
     checked = texts.join(asked, same).select(texts["id"], texts["th"], "t", "cs")
-    spans = checked.mapInArrow(_verified(), f"id {kind}, th bigint, spans array<struct<start:int,end:int>>, wins array<string>")
+    spans = checked.mapInArrow(common.lean(_verified()), f"id {kind}, th bigint, spans array<struct<start:int,end:int>>, wins array<string>")
     return met, common.materialise(spans.filter(F.size("spans") > 0), "verified"), every
 
 

@@ -92,7 +92,7 @@ class Tokens:
     """
 
     _by_file: dict[str, Tokens] = {}
-    MOST = 300_000
+    MOST = 100_000
 
     def __init__(self, file: str):
         import os
@@ -284,7 +284,7 @@ def _pack(file: str, length: int, windows: int, together: int, end_id: int, with
                             emit([(0, who, lo, piece, n)], False)
                         elif (done := fit.place(len(piece), (who, lo, piece, n))) is not None:
                             emit(done[1], False)
-                    if len(out) >= 4096:
+                    if len(out) >= 1024:
                         yield _batch(out, kind)
                         out.clear()
         tokens.forget()
@@ -336,6 +336,7 @@ def pack(
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     schema = f"id {kind}, {_PIECE}, leftover boolean, grp int, ids binary"
-    placed = common.materialise(rows.mapInArrow(_pack(vocabulary, length, windows, together, end_id, with_ids), schema), "pieces")
+    with common.small_batches(docs.sparkSession):
+        placed = common.materialise(rows.mapInArrow(common.lean(_pack(vocabulary, length, windows, together, end_id, with_ids)), schema), "pieces")
     rest = placed.filter("leftover").groupBy("grp").applyInArrow(_merge(length, with_ids), schema)
     return placed.filter("not leftover").unionByName(rest).drop("leftover", "grp")

@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from . import textscan as ts
 
 SCHEMA = "seg int, hashes binary, counts binary"
+LARGE = 4 << 20  # bytes of a segment after which a worker hands back what it has freed
 
 
 class Packer:
@@ -60,7 +62,15 @@ def by_segment(packed: DataFrame, run: Callable[[int, pa.Table], pa.Table], sche
     Segments are hash ranges of like size; a frequent hash comes once from each
     run of the packer, so no segment outgrows the others.
     """
-    return packed.groupBy("seg").applyInArrow(lambda key, table: run(key[0].as_py(), table), schema)
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        out = run(key[0].as_py(), table)
+        if table.nbytes >= LARGE:
+            del table
+            common.give_back()
+        return out
+
+    return packed.groupBy("seg").applyInArrow(whole, schema)
 
 
 def segment_bits(rows_bytes: int, each: int = 32 << 20) -> int:

@@ -185,7 +185,7 @@ def _met(bucket: int, bits: int):
 
 def asked_about(classes: DataFrame, bucket: int, n: int) -> DataFrame:
     """``half``: the upper 32 bits of the classes, of ``n`` rows ``class, size, print``, that share a key with another one and pass the check bits."""
-    made = classes.select("class", "size", "print").mapInArrow(_keyed(segments.segment_bits(n * 12 * SEGMENTS * (SEGMENTS - 1) // 2), bucket), _PACKED)
+    made = classes.select("class", "size", "print").mapInArrow(common.lean(_keyed(segments.segment_bits(n * 12 * SEGMENTS * (SEGMENTS - 1) // 2), bucket)), _PACKED)
     met = segments.by_segment(made, _met(bucket, segments.segment_bits(n * 4)), "seg int, classes binary")
     return segments.by_segment(met, lambda seg, table: pa.table({"half": pa.array(np.unique(_joined(table, "classes", np.uint32)).astype(np.int64))}), "half bigint")
 
@@ -231,7 +231,7 @@ def counted(sets: DataFrame, n_grams: int) -> np.ndarray:
         return pa.table({"seg": pa.array([seg], pa.int32()), "counts": pa.array([np.minimum(total, 0xFFFF).astype(np.uint16).tobytes()], pa.binary())})
 
     out = np.zeros((1 << _PARTS, 1 << bits - _PARTS), np.uint16)
-    for row in segments.by_segment(sets.select("grams").mapInArrow(run, "seg int, counts binary"), add, "seg int, counts binary").toLocalIterator():
+    for row in segments.by_segment(sets.select("grams").mapInArrow(common.lean(run), "seg int, counts binary"), add, "seg int, counts binary").toLocalIterator():
         out[row.seg] = np.frombuffer(row.counts, np.uint16)
     return out.ravel()
 
@@ -365,7 +365,7 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, by: int = 2, bu
     row = F.col(row_col) if row_col else F.lit(None).cast("bigint")
     rows = docs.select(F.struct(F.col(id_col).alias("id"), row.alias("row"), F.xxhash64(text).alias("text")).alias("tag"), text.alias("t"))
     schema = f"tag {rows.schema['tag'].dataType.simpleString()}, class bigint, size bigint, print binary"
-    known = common.materialise(rows.mapInArrow(_sketches(k, by), schema), "sketches")
+    known = common.materialise(rows.mapInArrow(common.lean(_sketches(k, by)), schema), "sketches")
     # texts of a class are alike but for the order of repeats: one of them stands for all
     classes = known.filter("size > 0").groupBy("class").agg(F.max("size").alias("size"), F.min("tag.text").alias("text"), F.min("print").alias("print"))
     since = len(common.written(docs.sparkSession))
@@ -377,19 +377,19 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, by: int = 2, bu
     plain = rows.select(F.col("tag.text").alias("text"), "t")
     maybe = plain.filter(segments.may_be_among(plain, F.col("text"), asked))
     texts = maybe.groupBy("text").agg(F.any_value("t").alias("t"))  # copies of a text meet map-side first
-    sets = common.materialise(texts.join(asked, "text", "left_semi").select("t").mapInArrow(_gram_sets(k), "class bigint, grams array<bigint>"), "sets")
+    sets = common.materialise(texts.join(asked, "text", "left_semi").select("t").mapInArrow(common.lean(_gram_sets(k)), "class bigint, grams array<bigint>"), "sets")
 
     n_grams = sets.agg(F.sum(F.size("grams"))).first()[0] or 0
     counts = docs.sparkSession.sparkContext.broadcast(counted(sets, n_grams))
     bits = segments.segment_bits(n_grams * _POSTING.itemsize // 4)
     plain = sets.select("class", F.col("class").alias("root"), "grams")
-    made = plain.mapInArrow(_postings(counts, bits, least, 1, np.dtype(_FIRST)), "seg int, postings binary")
+    made = plain.mapInArrow(common.lean(_postings(counts, bits, least, 1, np.dtype(_FIRST))), "seg int, postings binary")
     pairs = common.materialise(segments.by_segment(made, _first(bucket, least), "a bigint, b bigint").distinct(), "pairs")
     links = common.materialise(_verified(pairs.filter("a is not null"), sets, least), "first")
     root = common.components(links)
     if pairs.filter("a is null").head(1):
         tied = sets.join(root.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "grams")
-        made = tied.mapInArrow(_postings(counts, bits, least, min(bucket, 0xFFFE), _POSTING), "seg int, postings binary")
+        made = tied.mapInArrow(common.lean(_postings(counts, bits, least, min(bucket, 0xFFFE), _POSTING)), "seg int, postings binary")
         rest = common.materialise(segments.by_segment(made, _second(bucket, least), "a bigint, b bigint").distinct(), "rest")
         more = common.materialise(_verified(rest, sets, least), "others")
         if more.head(1):

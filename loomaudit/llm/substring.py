@@ -310,10 +310,10 @@ def remove_repeats(
     rows, text_bytes = common.told_apart(rows)
     seg_bits = segments.segment_bits(text_bytes)
     send = spark.sparkContext.broadcast
-    known = send(segments.bloom_filter(rows.select("t").mapInArrow(_packed(k, m, seed, seg_bits), segments.SCHEMA), 2, filter_bytes, seg_bits))
+    known = send(segments.bloom_filter(rows.select("t").mapInArrow(common.lean(_packed(k, m, seed, seg_bits)), segments.SCHEMA), 2, filter_bytes, seg_bits))
 
     since = len(common.written(spark))
-    occ = rows.select("id", "th", "t").mapInArrow(_occurrences(k, m, seed, known, seg_bits), f"mini bigint, whole bigint, id {kind}, th bigint, at int, n int, twice boolean")
+    occ = rows.select("id", "th", "t").mapInArrow(common.lean(_occurrences(k, m, seed, known, seg_bits)), f"mini bigint, whole bigint, id {kind}, th bigint, at int, n int, twice boolean")
     occ = common.materialise(occ, "pieces")
     path = occ.groupBy("mini", "whole").agg(F.min(F.struct("id", "th", "at")).alias("first"), F.count("*").alias("c"), F.max("twice").alias("inner"))
     path = common.materialise(path, "paths")
@@ -323,9 +323,9 @@ def remove_repeats(
 
     head = common.fresh_join(path.select("mini", "first"), branch, ["mini"]).select("mini", "first.id", "first.th", "first.at")
     head = head.select(F.xxhash64("id", "th").alias("key"), "mini", F.col("at").cast("bigint").alias("start"))
-    heads = send(segments.bloom_filter(head.mapInArrow(_pack_places(seg_bits), segments.SCHEMA), 1, filter_bytes, seg_bits))
+    heads = send(segments.bloom_filter(head.mapInArrow(common.lean(_pack_places(seg_bits)), segments.SCHEMA), 1, filter_bytes, seg_bits))
     keyed = rows.select("id", "th", F.xxhash64("id", "th").alias("key"), "t")
-    edges = keyed.mapInArrow(_edges(k, m, seed, known, heads, seg_bits), f"mini bigint, edge bigint, id {kind}, th bigint, at int")
+    edges = keyed.mapInArrow(common.lean(_edges(k, m, seed, known, heads, seg_bits)), f"mini bigint, edge bigint, id {kind}, th bigint, at int")
     edges = common.materialise(edges, "edges")
     first = edges.groupBy("mini", "edge").agg(F.min(F.struct("id", "th", "at")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
     later = common.fresh_join(edges, first, ["mini", "edge"]).select("id", "th", "at", F.lit(k).alias("width"), "first")
@@ -333,17 +333,17 @@ def remove_repeats(
 
     window = F.struct("at", "width", F.col("first.id").alias("sid"), F.col("first.th").alias("sth"), F.col("first.at").alias("sat"))
     per_text = gone.select("id", "th", window.alias("w")).groupBy("id", "th").agg(F.collect_set("w").alias("windows"))
-    span = per_text.mapInArrow(_merge(), f"id {kind}, th bigint, at int, width int, sid {kind}, sth bigint, sat int")
+    span = per_text.mapInArrow(common.lean(_merge()), f"id {kind}, th bigint, at int, width int, sid {kind}, sth bigint, sat int")
     span = common.materialise(span, "spans")
     common.release(spark, [p for p in common.written(spark)[since:] if "/spans-" not in p])
 
     asked = span.groupBy("sid", "sth").agg(F.collect_set(F.struct("sat", "width")).alias("asked"))
     source = rows["id"].eqNullSafe(asked["sid"]) & (rows["th"] == asked["sth"])
     asked = rows.select("id", "th", "t").join(asked, source).select("id", "th", "t", "asked")
-    proof = asked.mapInArrow(_sources(), f"sid {kind}, sth bigint, sat int, width int, digest binary").distinct()
+    proof = asked.mapInArrow(common.lean(_sources()), f"sid {kind}, sth bigint, sat int, width int, digest binary").distinct()
     proven = common.fresh_join(span, proof, ["sid", "sth", "sat", "width"]).select("id", "th", F.struct("at", "width", "digest").alias("w"))
     info = proven.groupBy("id", "th").agg(F.collect_set("w").alias("windows"))
     same = rows["id"].eqNullSafe(info["id"]) & (rows["th"] == info["th"])
     joined = rows.join(info, same, "left").select(rows["id"], rows["t"], info["windows"], *(["row"] if carry else []))
     schema = f"id {kind}, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept string"
-    return joined.mapInArrow(_finish(), schema + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""))
+    return joined.mapInArrow(common.lean(_finish()), schema + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""))

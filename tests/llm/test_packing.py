@@ -82,3 +82,30 @@ def test_best_fit_keeps_few_windows_open():
             done.append(sum(x[2] for x in out[1]))
         assert len(fit.held) <= 8
     assert sum(done) + sum(x[2] for _, p in fit.rest() for x in p) > 0 and sum(done) / len(done) > 92
+
+
+def test_little_is_held_at_once(spark, monkeypatch):
+    """Small batches in both directions, and memory is handed back when a task ends."""
+    from loomaudit.llm import common
+
+    real = packing._pack
+
+    def watched(*args):
+        def run(batches):
+            def few():
+                for b in batches:
+                    assert b.num_rows <= 1000
+                    yield b
+
+            for made in real(*args)(few()):
+                assert made.nbytes < 6 << 20
+                yield made
+
+        return run
+
+    monkeypatch.setattr(packing, "_pack", watched)
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 1000)").alias("text")).coalesce(1)
+    assert packing.pack(df, FILE).agg(F.sum("length")).first()[0] == 6000 * (len(reference("word " * 1000)) + 1)
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.lean(lambda batches: batches)(iter([1, 2]))) == [1, 2] and calls == [1]
