@@ -17,11 +17,20 @@ Components of the links are the copies.
 Large groups: ``votes`` corners that follow each other line by line, with equal descriptors
 and equal offsets, agree on a transform by themselves.  Their joint hash is a key of its
 own, and all classes that share it are joined through the smallest, so hundreds of edits of
-one picture cost linear work and need no bucket.  In buckets of more than ``bucket`` entries
-(common ornaments, many copies) each entry meets the first one and its neighbour in order of
-the bits; what lies in such buckets alone is left to those joint keys, so two images that
-share no run of unchanged corners and only descriptors that are frequent stay apart.  Runs
-are reduced by the task that made them before anything is dealt by key.
+one picture cost linear work and need no bucket.  Runs are reduced by the task that made them
+before anything is dealt by key.  Those components are found first, and buckets then pair
+entries of different components.
+
+In buckets of more than ``bucket`` entries (common ornaments, many copies) each entry meets
+the first one and its neighbour in order of the bits, by default; two images that share no
+run of unchanged corners and only descriptors that are frequent then stay apart.  With
+``whole`` all entries of different components are paired in buckets of any size, so the
+components are those of all pairs; equal descriptors of one component are compared once.  Pairs of classes are counted first, by
+hash, and only matches of those with ``votes`` at least are written.  Work and counts grow with the square of the
+number of components that have like descriptors; an ornament that is in many pictures which
+are no copies of each other costs that.  More pairs also mean more that gather ``votes`` by
+chance: of 30,000 pairs of an edit of one picture of noise and another picture 182 do (4
+scales, 8 pixels apart), which mixes up most of them; raise ``votes`` where that matters.
 
 Recall by kind of edit (pictures of blocks and of noise, 160 x 160 pixels, as tested): crop,
 noise, brightness, zoom 0.7 to 1.4 and turns by any angle, 0.9 or more each.
@@ -261,7 +270,8 @@ _POINT = np.dtype([("y", "<u4"), ("x", "<u2"), ("scale", "u1"), ("turn", "u1"),
 _ENTRY = np.dtype([("class", "<i8"), ("y", "<u4"), ("x", "<u2"), ("place", "u1"), ("turn", "u1"), ("bits", "<u8")])  # place: scale and band
 _LINK = np.dtype([("key", "<u8"), ("class", "<i8")])
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
-_PACKED = "seg int, entries binary, runs binary, pairs binary"
+_PACKED = "seg int, entries binary, roots binary"
+_JOINT = "seg int, runs binary, pairs binary"
 
 
 def _cut(bits: np.ndarray) -> list[np.ndarray]:
@@ -283,9 +293,9 @@ def _star(links: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low["class"][~new], links["class"][~new], links[new]
 
 
-def _packs(classes: np.ndarray, image: np.ndarray, found: np.ndarray, bits: int, votes: int) -> Iterator[pa.RecordBatch]:
-    """Entries of all bands, joint keys of neighbouring corners, and classes paired already, dealt by segments."""
-    own, klass, n = found["bits"], classes[image], len(found)
+def _entries(klass: np.ndarray, found: np.ndarray, root: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Entries of all bands, and components of classes that are not their own, each with their keys."""
+    own, n = found["bits"], len(found)
     entries, hashes = np.zeros(n * BANDS, _ENTRY), []
     for k, value in enumerate(_cut(own)):
         part = entries[k * n : (k + 1) * n]
@@ -293,7 +303,16 @@ def _packs(classes: np.ndarray, image: np.ndarray, found: np.ndarray, bits: int,
         for name in ("y", "x", "turn", "bits"):
             part[name] = found[name]
         hashes.append(_band_key(value, k))
-    hashes = np.concatenate(hashes)
+    key = np.concatenate(hashes)
+    kin = np.flatnonzero(np.tile(root != klass, BANDS))
+    roots = np.zeros(len(kin), _PAIR)
+    roots["a"], roots["b"] = entries["class"][kin], np.tile(root, BANDS)[kin]
+    return [entries, roots], [key, key[kin]]
+
+
+def _runs(klass: np.ndarray, image: np.ndarray, found: np.ndarray, votes: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Joint keys of neighbouring corners, and classes paired already, each with their keys."""
+    own, n = found["bits"], len(found)
     # corners that follow each other in one image and scale
     m = max(0, n - votes + 1)
     same = (image[:m] == image[n - m :]) & (found["scale"][:m] == found["scale"][n - m :])
@@ -306,107 +325,270 @@ def _packs(classes: np.ndarray, image: np.ndarray, found: np.ndarray, bits: int,
     a, b, runs = _star(runs)
     pairs = np.zeros(len(a), _PAIR)
     pairs["a"], pairs["b"] = a, b
+    pairs = np.unique(pairs)
+    return [runs, pairs], [runs["key"], np.zeros(len(pairs), ts.U)]
+
+
+def _packs(classes: np.ndarray, image: np.ndarray, found: np.ndarray, bits: int, votes: int, joint: bool = False, roots: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Joint keys of points, or their entries, dealt by segments; ``roots`` are the components of the classes."""
+    klass = classes[image]
+    kinds, keys = _runs(klass, image, found, votes) if joint else _entries(klass, found, klass if roots is None else roots[image])
     columns = []
-    for rows, key in ((entries, hashes), (runs, runs["key"]), (np.unique(pairs), None)):
-        seg = np.zeros(len(rows), np.int64) if key is None else (key >> ts.U(64 - bits)).astype(np.int64)
+    for rows, key in zip(kinds, keys):
+        seg = (key >> ts.U(64 - bits)).astype(np.int64)
         order = np.argsort(seg, kind="stable")
         cut = np.searchsorted(seg[order], np.arange((1 << bits) + 1))
         rows = rows[order]
-        columns.append([rows[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])])
+        parts = [rows[lo:hi] for lo, hi in zip(cut[:-1], cut[1:])]
+        columns.append([(np.unique(x) if x.dtype == _PAIR else x).tobytes() for x in parts])
     full = [s for s in range(1 << bits) if any(c[s] for c in columns)]
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([c[s] for s in full], pa.binary()) for c in columns)], ["seg", "entries", "runs", "pairs"])
+    names = ["seg", "runs", "pairs"] if joint else ["seg", "entries", "roots"]
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([c[s] for s in full], pa.binary()) for c in columns)], names)
 
 
-def _keyed(bits: int, votes: int, most: int = 1 << 16):
+def _keyed(bits: int, votes: int, joint: bool, most: int = 1 << 16):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, parts, n = [], [], 0
-        flush = lambda: _packs(np.array(classes), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts), bits, votes)
+        classes, roots, parts, n = [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            image = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            yield from _packs(np.array(classes), image, np.concatenate(parts), bits, votes, joint, np.array(roots))
+
         for batch in batches:
-            for klass, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for klass, root, blob in zip(*(batch.column(c).to_pylist() for c in ("class", "root", "points"))):
                 classes.append(klass)
+                roots.append(root)
                 parts.append(np.frombuffer(blob, _POINT))
                 n += len(parts[-1])
                 if n >= most:
                     yield from flush()
-                    classes, parts, n = [], [], 0
+                    classes, roots, parts, n = [], [], [], 0
         if n:
             yield from flush()
 
     return run
 
 
+def _bytes_of(table: pa.Table, column: str, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+
+
+def _joined(seg: int, table: pa.Table) -> pa.Table:
+    """Pairs of classes that share a joint key."""
+    a, b, _ = _star(_bytes_of(table, "runs", _LINK))
+    pairs = _bytes_of(table, "pairs", _PAIR)
+    found = np.unique(np.stack([np.concatenate([a, pairs["a"]]), np.concatenate([b, pairs["b"]])], 1), axis=0)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+
 _MATCH = "p bigint, q bigint, ds int, dt int, hx bigint, hy bigint, spot bigint"
 
 
-def _matches(distance: int, bucket: int, step: int):
-    """Verified matches of entries in the buckets of one segment, as votes; links of joint keys have no transform.
+_TURNED = np.arange(TURNS) * (2 * np.pi / TURNS)
+
+
+def _alike(e: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs of entries of a bucket that match and lie in different components, the smaller class first."""
+    bits = e["bits"]
+    ok = np.flatnonzero((root[left] != root[right]) & (np.bitwise_count(bits[left] ^ bits[right]) <= distance))
+    a, b = e[left[ok]], e[right[ok]]
+    cut, band = _cut(a["bits"] ^ b["bits"]), a["place"] >> 6
+    keep = band == b["place"] >> 6
+    for k in range(BANDS - 1):  # one vote for descriptors that agree in several bands
+        keep &= (band <= k) | (cut[k] != 0)
+    a, b = a[keep], b[keep]
+    swap = a["class"] > b["class"]
+    return np.where(swap, b, a), np.where(swap, a, b)
+
+
+def _votes(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
+    """Rows as :data:`_MATCH` has them."""
+    ds = (b["place"] & 63).astype(np.int64) - (a["place"] & 63)
+    dt = (b["turn"].astype(np.int64) - a["turn"]) % TURNS
+    zoom, cos, sin = STEP**ds, np.cos(_TURNED)[dt], np.sin(_TURNED)[dt]
+    ax, ay = a["x"].astype(float), a["y"].astype(float)
+    sx = b["x"] - zoom * (cos * ax - sin * ay)
+    sy = b["y"] - zoom * (cos * ay + sin * ax)
+    spot = (a["y"].astype(np.int64) // 4) << 32 | a["x"].astype(np.int64) // 4
+    half = [np.floor(v / (step / 2)).astype(np.int64) for v in (sx, sy)]
+    return np.stack([a["class"], b["class"], ds, dt, *half, spot], 1)
+
+
+def _pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of classes, of which the upper 32 bits are kept: pairs that collide are counted together."""
+    whole = ts.mix(ts.mix(np.ascontiguousarray(a["class"]).view(ts.U)) + np.ascontiguousarray(b["class"]).view(ts.U))
+    return whole >> ts.U(32) << ts.U(32)
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each start on, as many as its size, end to end, and whose they are."""
+    whose = np.repeat(np.arange(len(size)), size)
+    return start[whose] + np.arange(len(whose)) - (np.cumsum(size) - size)[whose], whose
+
+
+def _runs_of(size: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices whose sizes add up to ``most`` at most, or one larger."""
+    total, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def _crossed(bits: np.ndarray, root: np.ndarray, distance: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of one bucket, in order of bits and component, that lie in different components and at most ``distance`` bits apart."""
+    new = np.ones(len(bits), bool)
+    new[1:] = (bits[1:] != bits[:-1]) | (root[1:] != root[:-1])
+    head = np.flatnonzero(new)
+    size, bits, root = np.diff(np.append(head, len(new))), bits[head], root[head]
+    high = max(1, most // len(head))
+    for lo in range(0, len(head), high):
+        part = slice(lo, lo + high)
+        near = (np.bitwise_count(bits[part, None] ^ bits[lo:]) <= distance) & (root[part, None] != root[lo:])
+        one, two = (x + lo for x in np.nonzero(near))
+        one, two = one[one < two], two[one < two]
+        for few in _runs_of(size[one], most):
+            left, whose = _spread(head[one[few]], size[one[few]])
+            right = two[few][whose]
+            for some in _runs_of(size[right], most):
+                b, whose = _spread(head[right[some]], size[right[some]])
+                yield left[some][whose], b
+
+
+def _met(table: pa.Table, distance: int, bucket: int, whole: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Matches of entries of different components in the buckets of one segment, run by run; without ``whole`` few of large ones."""
+    e, roots = _bytes_of(table, "entries", _ENTRY), np.unique(_bytes_of(table, "roots", _PAIR))
+    root = e["class"].copy()
+    if len(roots):
+        at = np.minimum(np.searchsorted(roots["a"], root), len(roots) - 1)
+        root = np.where(roots["a"][at] == root, roots["b"][at], root)
+    key, band = np.zeros(len(e), ts.U), e["place"] >> 6
+    for k, value in enumerate(_cut(e["bits"])):
+        key[band == k] = _band_key(value[band == k], k)
+    order = np.lexsort((e["class"], root, e["bits"], key) if whole else (e["class"], e["bits"], key))
+    e, root, key = e[order], root[order], key[order]
+    new = np.ones(len(e), bool)
+    new[1:] = key[1:] != key[:-1]
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(e)))
+    place, small = np.arange(len(e)) - np.repeat(head, size), np.repeat(size <= bucket, size)
+    for d in range(1, bucket):
+        i = np.flatnonzero((place >= d) & small)
+        if not len(i):
+            break
+        yield _alike(e, root, i - d, i, distance)
+    if not whole:
+        i = np.flatnonzero(~small)
+        yield _alike(e, root, np.repeat(head, size)[i], i, distance)
+        i = i[place[i] >= 2]  # the second one has met its neighbour, the first
+        yield _alike(e, root, i - 1, i, distance)
+        return
+    for lo, n in zip(head[size > bucket].tolist(), size[size > bucket].tolist()):
+        for left, right in _crossed(np.ascontiguousarray(e["bits"][lo : lo + n]), root[lo : lo + n], distance):
+            yield _alike(e, root, left + lo, right + lo, distance)
+
+
+def _counted(distance: int, bucket: int, bits: int, most: int = 1 << 21):
+    """How many matches each pair of classes has in a segment, dealt by hash: byte by byte of all hashes, which are sorted, as that can be compressed."""
+
+    def run(seg: int, table: pa.Table) -> pa.Table:
+        held, n, made = [], 0, []
+
+        def flush() -> None:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            cut = np.searchsorted(values >> ts.U(64 - bits), np.arange((1 << bits) + 1, dtype=ts.U))
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                part = slice(cut[k], cut[k + 1])
+                planes = (values[part] >> ts.U(32)).astype("<u4").view(np.uint8).reshape(-1, 4).T
+                made.append((k, planes.tobytes(), np.minimum(counts[part], 255).astype(np.uint8).tobytes()))
+
+        for a, b in _met(table, distance, bucket, True):
+            held.append(_pair_hashes(a, b))
+            n += len(a)
+            if n >= most:
+                flush()
+                held, n = [], 0
+        if n:
+            flush()
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        columns = list(zip(*made)) or [(), (), ()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["seg", "hashes", "counts"])
+
+    return run
+
+
+def _enough(votes: int):
+    """Hashes of pairs with ``votes`` matches at least in all segments."""
+
+    def run(seg: int, table: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x, np.uint8).reshape(4, -1).T for x in table.column("hashes").to_pylist()]
+        values = np.concatenate([np.ascontiguousarray(x).view("<u4").ravel() for x in blobs])
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8)
+        order = np.argsort(values, kind="stable")
+        values, counts = values[order], counts[order]
+        head = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        total = np.add.reduceat(counts.astype(np.int64), head)
+        kept = values[head][total >= votes].astype(ts.U) << ts.U(32)
+        blob = lambda x: pa.array([x.tobytes()], pa.binary())
+        found = pa.table({"seg": pa.array([seg], pa.int32()), "hashes": blob(kept), "counts": blob(np.ones(len(kept), np.uint32))})
+        return found if len(kept) else found.slice(0, 0)
+
+    return run
+
+
+def _matches(distance: int, bucket: int, step: int, wanted=None, bits: int = 0):
+    """Matches of one segment, as votes; with the broadcast filter ``wanted`` all those of the pairs of classes in it.
 
     A match states a change of scale, a turn, and where the other image's origin then lies;
     the origin is given in halves of a cell of ``step`` pixels.
     """
 
     def run(seg: int, table: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        e = join("entries", _ENTRY)
-        key, band = np.zeros(len(e), ts.U), e["place"] >> 6
-        for k, value in enumerate(_cut(e["bits"])):
-            key[band == k] = _band_key(value[band == k], k)
-        order = np.lexsort((e["class"], e["bits"], key))
-        e, key = e[order], key[order]
-        new = np.ones(len(e), bool)
-        new[1:] = key[1:] != key[:-1]
-        head = np.flatnonzero(new)
-        size = np.diff(np.append(head, len(e)))
-        place, large = np.arange(len(e)) - np.repeat(head, size), np.repeat(size > bucket, size)
-        left, right = [np.repeat(head, size)[large]], [np.flatnonzero(large)]
-        for d in range(1, bucket):
-            i = np.flatnonzero((place >= d) & (~large | (d == 1)))
-            if not len(i):
-                break
-            left.append(i - d)
-            right.append(i)
-        a, b = e[np.concatenate(left)], e[np.concatenate(right)]
-        differ = a["bits"] ^ b["bits"]
-        ok = (np.bitwise_count(differ) <= distance) & (a["class"] != b["class"]) & (a["place"] >> 6 == b["place"] >> 6)
-        first = np.select([v == 0 for v in _cut(differ)], range(BANDS), BANDS)
-        ok &= first == a["place"] >> 6  # one vote for descriptors that agree in several bands
-        a, b = a[ok], b[ok]
-        swap = a["class"] > b["class"]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        ds = (b["place"] & 63).astype(np.int64) - (a["place"] & 63)
-        dt = (b["turn"].astype(np.int64) - a["turn"]) % TURNS
-        zoom, angle = STEP**ds, dt * (2 * np.pi / TURNS)
-        ax, ay = a["x"].astype(float), a["y"].astype(float)
-        sx = b["x"] - zoom * (np.cos(angle) * ax - np.sin(angle) * ay)
-        sy = b["y"] - zoom * (np.cos(angle) * ay + np.sin(angle) * ax)
-        spot = (a["y"].astype(np.int64) // 4) << 32 | a["x"].astype(np.int64) // 4
-        half = [np.floor(v / (step / 2)).astype(np.int64) for v in (sx, sy)]
-        rows = np.unique(np.stack([a["class"], b["class"], ds, dt, *half, spot], 1), axis=0)
-        p, q, _ = _star(join("runs", _LINK))
-        pairs = join("pairs", _PAIR)
-        p, q = np.concatenate([p, pairs["a"]]), np.concatenate([q, pairs["b"]])
-        none = pa.nulls(len(p), pa.int64())
+        rows = [np.zeros((0, 7), np.int64)]
+        for a, b in _met(table, distance, bucket, wanted is not None):
+            if wanted is not None and len(a):
+                keep = segments.bloom_probe(wanted.value, bits, _pair_hashes(a, b))
+                a, b = a[keep], b[keep]
+            rows.append(_votes(a, b, step))
+        rows = np.unique(np.concatenate(rows), axis=0)
         names = [x.split()[0] for x in _MATCH.split(", ")]
-        columns = [pa.chunked_array([pa.array(rows[:, k]), v]) for k, v in enumerate([pa.array(p), pa.array(q), *[none] * 5])]
-        return pa.table(dict(zip(names, columns))).cast(pa.schema([(x, pa.int32() if x in ("ds", "dt") else pa.int64()) for x in names]))
+        found = pa.table({x: rows[:, k] for k, x in enumerate(names)})
+        return found.cast(pa.schema([(x, pa.int32() if x in ("ds", "dt") else pa.int64()) for x in names]))
 
     return run
 
 
-def links(known: DataFrame, votes: int = 5, distance: int = 5, bucket: int = 32, step: int = 24) -> DataFrame:
-    """Pairs ``a, b`` of classes of rows ``class, points``, by consensus or by a joint key."""
-    total = known.agg(F.sum(F.octet_length("points"))).first()[0] or 0
-    bits = segments.segment_bits(total * BANDS * _ENTRY.itemsize // _POINT.itemsize)
-    made = known.select("class", "points").mapInArrow(_keyed(bits, votes), _PACKED)
-    match = common.materialise(segments.by_segment(made, _matches(distance, bucket, step), _MATCH), "matches")
+def links(known: DataFrame, votes: int = 5, distance: int = 5, bucket: int = 32, step: int = 24, whole: bool = False) -> DataFrame:
+    """Pairs ``a, b`` of classes of rows ``class, points``, by a joint key, or by consensus beyond the components of those."""
+    sizes = known.groupBy("class").agg(F.max(F.octet_length("points")).alias("n"))
+    total, n = sizes.agg(F.sum("n"), F.count("*")).first()
+    bits = segments.segment_bits((total or 0) * BANDS * _ENTRY.itemsize // _POINT.itemsize)
+    made = known.select("class", F.col("class").alias("root"), "points").mapInArrow(_keyed(bits, votes, True), _JOINT)
+    joint = common.materialise(segments.by_segment(made, _joined, "a bigint, b bigint"), "joint")
+    held = known.groupBy("class").agg(F.min("points").alias("points"))
+    if joint.head(1):
+        root = common.components(joint).withColumnRenamed("node", "class")
+        held = held.join(root, "class", "left")
+    else:
+        held = held.withColumn("root", F.col("class"))
+    held = held.select("class", F.coalesce("root", "class").alias("root"), "points")
+    made = held.mapInArrow(_keyed(bits, votes, False), _PACKED)
+    wanted = None
+    if whole:  # most pairs that match at all have few matches: only those with votes enough are written
+        packed = segments.by_segment(made, _counted(distance, bucket, bits), segments.SCHEMA)
+        enough = segments.by_segment(packed, _enough(min(votes, 255)), segments.SCHEMA)
+        size = segments.filter_bytes(8 * n, 16 << 20, bits)
+        wanted = known.sparkSession.sparkContext.broadcast(segments.bloom_filter(enough, 1, size, bits))
+    match = common.materialise(segments.by_segment(made, _matches(distance, bucket, step, wanted, bits), _MATCH), "matches")
+    if whole:
+        wanted.destroy()
     # turn and origin are voted for in a grid and in the same grid moved by half a cell; all votes of a pair meet in one shuffle
-    votes_of = match.filter("spot is not null").repartition("p", "q").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("g"))
+    votes_of = match.repartition("p", "q").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("g"))
     cell = lambda h: F.floor((F.col(h) + F.col("g")) / 2).alias("c" + h)
     turn = (F.floor((F.col("dt") + 2 * F.col("g")) / 4) % (TURNS // 4)).alias("turn")
     cells = votes_of.select("p", "q", "g", "ds", turn, cell("hx"), cell("hy"), "spot").distinct()
     tally = cells.groupBy("p", "q", "g", "ds", "turn", "chx", "chy").agg(F.count("*").alias("n")).filter(F.col("n") >= votes)
-    joint = match.filter("spot is null").select("p", "q")
-    return tally.select("p", "q").unionByName(joint).distinct().select(F.col("p").alias("a"), F.col("q").alias("b"))
+    return tally.select(F.col("p").alias("a"), F.col("q").alias("b")).unionByName(joint).distinct()
 
 
 def descriptors(images: DataFrame, kind: str, scales: int = 4, apart: int = 8) -> DataFrame:
@@ -427,14 +609,14 @@ def descriptors(images: DataFrame, kind: str, scales: int = 4, apart: int = 8) -
     return images.select("id", "class", "image").mapInArrow(run, f"id {kind}, class bigint, points binary")
 
 
-def copies(images: DataFrame, votes: int = 5, distance: int = 5, bucket: int = 32, scales: int = 4, apart: int = 8, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
+def copies(images: DataFrame, votes: int = 5, distance: int = 5, bucket: int = 32, scales: int = 4, apart: int = 8, id_col: str = "image_id", image_col: str = "image", whole: bool = False) -> DataFrame:
     """``id, class, component, n_descriptors``: the class of equal images, the smallest id of all copies."""
     kind = images.schema[id_col].dataType.simpleString()
     rows = images.select(F.col(id_col).alias("id"), F.coalesce(F.col(image_col).cast("binary"), F.lit(b"")).alias("image"))
     rows = rows.select("id", F.xxhash64("image").alias("class"), "image")
     known = common.materialise(descriptors(rows, kind, scales, apart), "descriptors")
     since = len(common.written(images.sparkSession))
-    found = common.materialise(links(known.groupBy("class").agg(F.min("points").alias("points")), votes, distance, bucket), "consensus")
+    found = common.materialise(links(known.select("class", "points"), votes, distance, bucket, whole=whole), "consensus")
     lows = known.groupBy("class").agg(F.min("id").alias("low"))
     if found.head(1):
         root = common.components(found).withColumnRenamed("node", "class")

@@ -155,7 +155,7 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies among the images of all pages; their edits neither turn nor zoom, so a few scales and corners do."""
     from .media import copies, page_images
 
-    found = copies(page_images(_table(spark, sf_dir, "pages")), scales=3, apart=16)
+    found = copies(page_images(_table(spark, sf_dir, "pages")), scales=3, apart=16, whole=True)
     return found.select(F.col("id").alias("page_id"), F.col("class").alias("image_class"), F.col("component").alias("component_id"), "n_descriptors")
 
 

@@ -160,3 +160,38 @@ def test_a_match_is_one_row_and_an_entry_is_small():
     differ = one["bits"][:, None] ^ two["bits"][None]
     alike = (np.bitwise_count(differ) <= 5) & np.any([v == 0 for v in media._cut(differ)], 0)
     assert len(one) <= rows <= alike.sum()
+
+
+def scattered(rng, frequent, places):
+    """Points at these places with descriptors that all pictures have, each beside one of its own, so no run of corners repeats."""
+    out = np.zeros(2 * len(places), media._POINT)
+    out["y"][::2], out["x"][::2], out["bits"][::2] = places[:, 0], places[:, 1], frequent
+    out["y"][1::2], out["x"][1::2], out["bits"][1::2] = places[:, 0] + 1, 3, rng.integers(0, 2**63, len(places))
+    return out.tobytes()
+
+
+def test_frequent_descriptors_alone_lose_no_link(spark):
+    """Sixty pairs of copies whose eight descriptors are in all 120 pictures; nothing else is shared."""
+    rng, n = np.random.default_rng(3), 60
+    frequent = rng.integers(0, 2**63, 8).astype(np.uint64)
+    places = [np.stack([np.arange(8) * 200 + rng.integers(0, 200, 8), rng.integers(0, 2000, 8)], 1) for _ in range(n)]
+    rows = [(k, bytearray(scattered(rng, frequent, places[k]))) for k in range(n)]
+    near = frequent ^ np.uint64(1) << np.arange(8, dtype=np.uint64)
+    rows += [(n + k, bytearray(scattered(rng, near if k % 2 else frequent, places[k] + [40, 70]))) for k in range(n)]
+    df = spark.createDataFrame(rows, "class bigint, points binary").repartition(4)
+    for bucket in (4, 32, 1000):
+        got = {tuple(sorted((r.a, r.b))) for r in media.links(df, bucket=bucket, whole=True).collect()}
+        assert got == {(k, n + k) for k in range(n)}, bucket
+    assert media.links(df.filter("class < 3"), whole=True).count() == 0
+
+
+def test_pairs_of_a_large_bucket_are_those_of_other_components():
+    rng = np.random.default_rng(6)
+    bits = rng.choice(np.array([1, 3, 7, 2**40 + 1, 2**40 - 1, 2**60], np.uint64), 300)
+    root = rng.integers(0, 9, 300)
+    order = np.lexsort((root, bits))
+    bits, root = bits[order], root[order]
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if root[i] != root[j] and int(bits[i] ^ bits[j]).bit_count() <= 5}
+    for most in (1, 50, 1 << 18):
+        got = [p for a, b in media._crossed(bits, root, 5, most) for p in zip(a.tolist(), b.tolist())]
+        assert len(got) == len(set(got)) and {tuple(sorted(p)) for p in got} == want
