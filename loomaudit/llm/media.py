@@ -25,10 +25,13 @@ In buckets of more than ``bucket`` entries (common ornaments, many copies) each
 the first one and its neighbour in order of the bits, by default; two images that share no
 run of unchanged corners and only descriptors that are frequent then stay apart.  With
 ``whole`` all entries of different components are paired in buckets of any size, so the
-components are those of all pairs; equal descriptors of one component are compared once.  Pairs of classes are counted first, by
-hash, and only matches of those with ``votes`` at least are written.  Work and counts grow with the square of the
-number of components that have like descriptors; an ornament that is in many pictures which
-are no copies of each other costs that.  More pairs also mean more that gather ``votes`` by
+components are those of all pairs.  Equal descriptors of one class are one group, however
+often a texture repeats them, and groups are paired.  Pairs of classes are counted first, by
+hash, with the places that each match can add; only those that may reach ``votes`` are looked
+at again, place by place.  What agrees within one segment is a link at once, other matches
+are dealt by pair and counted.  Entries are dealt once for both passes.  Work and counts
+grow with the square of the number of classes that have like descriptors; an ornament that
+is in many pictures which are no copies of each other costs that.  More pairs also mean more that gather ``votes`` by
 chance: of 30,000 pairs of an edit of one picture of noise and another picture 182 do (4
 scales, 8 pixels apart), which mixes up most of them; raise ``votes`` where that matters.
 
@@ -215,7 +218,7 @@ def _resized(strip: np.ndarray, heights: np.ndarray, scale: int) -> tuple[np.nda
 _FIELDS = ("image", "y", "x", "scale", "turn", "bits")
 
 
-def describe(images: list[np.ndarray | None], scales: int = 4, apart: int = 8, most: int = 1 << 18) -> np.ndarray:
+def describe(images: list[np.ndarray | None], scales: int = 4, apart: int = 8, most: int = 1 << 16) -> np.ndarray:
     """Rows ``image, y, x, scale, turn, bits``, places in pixels of the first scale, by image, scale and place."""
     out = [np.zeros((0, 6), np.int64)]
     known = [i for i, p in enumerate(images) if p is not None and min(p.shape) >= 2 * PATCH + 3]
@@ -270,8 +273,26 @@ _POINT = np.dtype([("y", "<u4"), ("x", "<u2"), ("scale", "u1"), ("turn", "u1"),
 _ENTRY = np.dtype([("class", "<i8"), ("y", "<u4"), ("x", "<u2"), ("place", "u1"), ("turn", "u1"), ("bits", "<u8")])  # place: scale and band
 _LINK = np.dtype([("key", "<u8"), ("class", "<i8")])
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
+_VOTE = np.dtype([("p", "<i8"), ("q", "<i8"), ("ds", "<i8"), ("dt", "<i8"), ("hx", "<i8"), ("hy", "<i8"), ("spot", "<i8")])
 _PACKED = "seg int, entries binary, roots binary"
 _JOINT = "seg int, runs binary, pairs binary"
+_AGREED = "seg int, classes binary, votes binary, pairs binary"
+
+
+def _shrunk(rows: np.ndarray) -> bytes:
+    """Rows byte by byte of all, compressed; the first eight bytes say how many they are."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), rows.itemsize).T)
+    return len(rows).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _grown(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
+    """The rows of several of :func:`_shrunk`."""
+    rows = [np.zeros(0, kind)]
+    for blob in blobs:
+        if n := int.from_bytes(blob[:8], "little"):
+            planes = pa.decompress(blob[8:], n * kind.itemsize, codec="zstd")
+            rows.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(-1, n).T).view(kind).ravel())
+    return np.concatenate(rows)
 
 
 def _cut(bits: np.ndarray) -> list[np.ndarray]:
@@ -346,13 +367,44 @@ def _packs(classes: np.ndarray, image: np.ndarray, found: np.ndarray, bits: int,
     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([c[s] for s in full], pa.binary()) for c in columns)], names)
 
 
-def _keyed(bits: int, votes: int, joint: bool, most: int = 1 << 16):
+def _numbered(rows: np.ndarray, *names: str) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of some rows, and the rows with their numbers in place of them."""
+    classes, rows = np.unique(np.concatenate([rows[x] for x in names])), rows.copy()
+    for x in names:
+        rows[x] = np.searchsorted(classes, rows[x])
+    return classes, rows
+
+
+def _by_part(made: pa.RecordBatch, parts: int) -> pa.RecordBatch:
+    """Entries of the segments of each part in one run, compressed."""
+    seg, columns = made.column("seg").to_numpy(), [made.column(c).to_pylist() for c in ("entries", "roots")]
+    full, out = np.unique(seg % parts), []
+    for k in full.tolist():
+        entries, roots = (b"".join(c[i] for i in np.flatnonzero(seg % parts == k).tolist()) for c in columns)
+        rows = np.frombuffer(entries, _ENTRY)
+        classes, rows = _numbered(rows[np.lexsort((rows["bits"], rows["class"]))], "class")
+        out.append((len(classes).to_bytes(8, "little") + classes.tobytes() + _shrunk(rows), np.unique(np.frombuffer(roots, _PAIR)).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*out))], ["seg", "entries", "roots"])
+
+
+def _own_classes(blob: bytes) -> np.ndarray:
+    """The entries of a run of :func:`_by_part`."""
+    n = int.from_bytes(blob[:8], "little")
+    rows = _grown([blob[8 + 8 * n :]], _ENTRY)
+    rows["class"] = np.frombuffer(blob, np.int64, n, 8)[rows["class"]]
+    return rows
+
+
+def _keyed(bits: int, votes: int, joint: bool, most: int = 1 << 16, dealt: int = 0):
+    """Runs of :func:`_packs`, or compressed ones of so many parts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, roots, parts, n = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             image = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            yield from _packs(np.array(classes), image, np.concatenate(parts), bits, votes, joint, np.array(roots))
+            for made in _packs(np.array(classes), image, np.concatenate(parts), bits, votes, joint, np.array(roots)):
+                yield _by_part(made, dealt) if dealt else made
 
         for batch in batches:
             for klass, root, blob in zip(*(batch.column(c).to_pylist() for c in ("class", "root", "points"))):
@@ -401,6 +453,11 @@ def _alike(e: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray,
     return np.where(swap, b, a), np.where(swap, a, b)
 
 
+def _spots(e: np.ndarray) -> np.ndarray:
+    """Places that count once."""
+    return (e["y"].astype(np.int64) // 4) << 32 | e["x"].astype(np.int64) // 4
+
+
 def _votes(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
     """Rows as :data:`_MATCH` has them."""
     ds = (b["place"] & 63).astype(np.int64) - (a["place"] & 63)
@@ -409,15 +466,14 @@ def _votes(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
     ax, ay = a["x"].astype(float), a["y"].astype(float)
     sx = b["x"] - zoom * (cos * ax - sin * ay)
     sy = b["y"] - zoom * (cos * ay + sin * ax)
-    spot = (a["y"].astype(np.int64) // 4) << 32 | a["x"].astype(np.int64) // 4
+    spot = _spots(a)
     half = [np.floor(v / (step / 2)).astype(np.int64) for v in (sx, sy)]
     return np.stack([a["class"], b["class"], ds, dt, *half, spot], 1)
 
 
-def _pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of pairs of classes, of which the upper 32 bits are kept: pairs that collide are counted together."""
-    whole = ts.mix(ts.mix(np.ascontiguousarray(a["class"]).view(ts.U)) + np.ascontiguousarray(b["class"]).view(ts.U))
-    return whole >> ts.U(32) << ts.U(32)
+def _pair_bits(n: int) -> int:
+    """Bits of a hash of a pair of ``n`` classes: pairs that collide are counted together, which makes work and loses nothing."""
+    return min(60, max(24, 2 * n.bit_length() - 4))
 
 
 def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -455,56 +511,130 @@ def _crossed(bits: np.ndarray, root: np.ndarray, distance: int, most: int = 1 <<
                 yield left[some][whose], b
 
 
-def _met(table: pa.Table, distance: int, bucket: int, whole: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Matches of entries of different components in the buckets of one segment, run by run; without ``whole`` few of large ones."""
-    e, roots = _bytes_of(table, "entries", _ENTRY), np.unique(_bytes_of(table, "roots", _PAIR))
-    root = e["class"].copy()
+def _bucketed(e: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The component of each entry, its key, and the order by key and bits."""
+    roots, root = np.unique(roots), e["class"].copy()
     if len(roots):
         at = np.minimum(np.searchsorted(roots["a"], root), len(roots) - 1)
         root = np.where(roots["a"][at] == root, roots["b"][at], root)
     key, band = np.zeros(len(e), ts.U), e["place"] >> 6
     for k, value in enumerate(_cut(e["bits"])):
         key[band == k] = _band_key(value[band == k], k)
-    order = np.lexsort((e["class"], root, e["bits"], key) if whole else (e["class"], e["bits"], key))
-    e, root, key = e[order], root[order], key[order]
-    new = np.ones(len(e), bool)
-    new[1:] = key[1:] != key[:-1]
-    head = np.flatnonzero(new)
-    size = np.diff(np.append(head, len(e)))
-    place, small = np.arange(len(e)) - np.repeat(head, size), np.repeat(size <= bucket, size)
+    return root, key, np.lexsort((e["place"], e["class"], root, e["bits"], key))
+
+
+def _buckets(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and size of each bucket, and the place of each entry in its own."""
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(head, len(key)))
+    return head, size, np.arange(len(key)) - np.repeat(head, size)
+
+
+def _met(table: pa.Table, distance: int, bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Matches of entries of different components in the buckets of one segment, few of large ones."""
+    e = _bytes_of(table, "entries", _ENTRY)
+    root, key, _ = _bucketed(e, _bytes_of(table, "roots", _PAIR))
+    order = np.lexsort((e["class"], e["bits"], key))
+    e, root = e[order], root[order]
+    head, size, place = _buckets(key[order])
+    small = np.repeat(size <= bucket, size)
     for d in range(1, bucket):
         i = np.flatnonzero((place >= d) & small)
         if not len(i):
             break
         yield _alike(e, root, i - d, i, distance)
-    if not whole:
-        i = np.flatnonzero(~small)
-        yield _alike(e, root, np.repeat(head, size)[i], i, distance)
-        i = i[place[i] >= 2]  # the second one has met its neighbour, the first
-        yield _alike(e, root, i - 1, i, distance)
-        return
-    for lo, n in zip(head[size > bucket].tolist(), size[size > bucket].tolist()):
-        for left, right in _crossed(np.ascontiguousarray(e["bits"][lo : lo + n]), root[lo : lo + n], distance):
-            yield _alike(e, root, left + lo, right + lo, distance)
-
-
-def _counted(distance: int, bucket: int, bits: int, most: int = 1 << 21):
-    """How many matches each pair of classes has in a segment, dealt by hash: byte by byte of all hashes, which are sorted, as that can be compressed."""
-
-    def run(seg: int, table: pa.Table) -> pa.Table:
-        held, n, made = [], 0, []
+    i = np.flatnonzero(~small)
+    yield _alike(e, root, np.repeat(head, size)[i], i, distance)
+    i = i[place[i] >= 2]  # the second one has met its neighbour, the first
+    yield _alike(e, root, i - 1, i, distance)
+
+
+class _Groups:
+    """Entries of some segments; those of one class with equal descriptors and scale are a group, which is paired as one."""
+
+    def __init__(self, table: pa.Table):
+        e = np.concatenate([_own_classes(x) for x in table.column("entries").to_pylist()])
+        root, key, order = _bucketed(e, _bytes_of(table, "roots", _PAIR))
+        self.rows, root, key = e[order], root[order], key[order]
+        new = np.ones(len(e), bool)
+        new[1:] = key[1:] != key[:-1]
+        for name in ("bits", "class", "place"):
+            new[1:] |= self.rows[name][1:] != self.rows[name][:-1]
+        self.head = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.head, len(e)))
+        one = self.rows[self.head]
+        self.klass, self.bits = np.ascontiguousarray(one["class"]), np.ascontiguousarray(one["bits"])
+        self.band, self.scale = one["place"] >> 6, (one["place"] & 63).astype(ts.U)
+        self.root, self.key = root[self.head], key[self.head]
+
+    def _first(self, left: np.ndarray, right: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of one bucket that match and lie in different components, in the first band in which they agree, the smaller class first."""
+        differ = self.bits[left] ^ self.bits[right]
+        ok = np.flatnonzero(np.bitwise_count(differ) <= distance)
+        left, right, cut, band = left[ok], right[ok], _cut(differ[ok]), self.band[left[ok]]
+        keep = self.root[left] != self.root[right]
+        for k in range(BANDS - 1):
+            keep &= (band <= k) | (cut[k] != 0)
+        left, right = left[keep], right[keep]
+        swap = self.klass[left] > self.klass[right]
+        return np.where(swap, right, left), np.where(swap, left, right)
+
+    def met(self, distance: int, bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of groups of different components that match, the smaller class first."""
+        head, size, place = _buckets(self.key)
+        for d in range(1, bucket):
+            i = np.flatnonzero((place >= d) & np.repeat(size <= bucket, size)) if d == 1 else i[place[i] >= d]
+            if not len(i):
+                break
+            yield self._first(i - d, i, distance)
+        for lo, n in zip(head[size > bucket].tolist(), size[size > bucket].tolist()):
+            for left, right in _crossed(self.bits[lo : lo + n], self.root[lo : lo + n], distance):
+                yield self._first(left + lo, right + lo, distance)
+
+    def hashes(self, left: np.ndarray, right: np.ndarray, kept: int) -> np.ndarray:
+        """Hashes of pairs of classes and the change of scale, of which so many upper bits are kept."""
+        low, zoom = ts.U(64 - kept), (self.scale[right] - self.scale[left]) << ts.U(56)
+        return ts.mix(ts.mix(self.klass[left].view(ts.U)) + self.klass[right].view(ts.U) + zoom) >> low << low
+
+    def spots(self) -> np.ndarray:
+        """How many places each group has, as votes count them."""
+        whose = np.repeat(np.arange(len(self.head)), self.size)
+        spot = _spots(self.rows)
+        order = np.lexsort((spot, whose))
+        whose, spot = whose[order], spot[order]
+        new = np.ones(len(spot), bool)
+        new[1:] = (whose[1:] != whose[:-1]) | (spot[1:] != spot[:-1])
+        return np.bincount(whose[new], minlength=len(self.head))
+
+    def points(self, left: np.ndarray, right: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of entries of pairs of groups, about ``most`` at once."""
+        for few in _runs_of(self.size[left], most):
+            a, whose = _spread(self.head[left[few]], self.size[left[few]])
+            other = right[few][whose]
+            for some in _runs_of(self.size[other], most):
+                b, whose = _spread(self.head[other[some]], self.size[other[some]])
+                yield self.rows[a[some][whose]], self.rows[b]
+
+
+def _counted(distance: int, bucket: int, bits: int, kept: int, most: int = 1 << 22):
+    """How many places of the first class may match, for each pair of classes and change of scale in some segments, dealt by hash: steps between the sorted hashes, compressed."""
+
+    def run(table: pa.Table) -> pa.Table:
+        groups, held, n, made = _Groups(table), [], 0, []
+        spots = np.minimum(groups.spots(), 255).astype(np.uint8)
 
         def flush() -> None:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            values, which = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            counts = np.bincount(which, np.concatenate([x for _, x in held])).astype(np.int64)
             cut = np.searchsorted(values >> ts.U(64 - bits), np.arange((1 << bits) + 1, dtype=ts.U))
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 part = slice(cut[k], cut[k + 1])
-                planes = (values[part] >> ts.U(32)).astype("<u4").view(np.uint8).reshape(-1, 4).T
-                made.append((k, planes.tobytes(), np.minimum(counts[part], 255).astype(np.uint8).tobytes()))
+                steps = np.diff(values[part] >> ts.U(64 - kept), prepend=ts.U(0))
+                made.append((k, _shrunk(steps), _shrunk(np.minimum(counts[part], 255).astype(np.uint8))))
 
-        for a, b in _met(table, distance, bucket, True):
-            held.append(_pair_hashes(a, b))
-            n += len(a)
+        for left, right in groups.met(distance, bucket):
+            held.append((groups.hashes(left, right, kept), spots[left]))
+            n += len(left)
             if n >= most:
                 flush()
                 held, n = [], 0
@@ -517,39 +647,111 @@ def _counted(distance: int, bucket: int, bits: int, most: int = 1 << 21):
     return run
 
 
-def _enough(votes: int):
-    """Hashes of pairs with ``votes`` matches at least in all segments."""
+def _enough(votes: int, kept: int):
+    """Hashes of pairs with ``votes`` at least in all segments."""
 
     def run(seg: int, table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x, np.uint8).reshape(4, -1).T for x in table.column("hashes").to_pylist()]
-        values = np.concatenate([np.ascontiguousarray(x).view("<u4").ravel() for x in blobs])
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8)
+        values = np.concatenate([np.cumsum(_grown([x], np.dtype(ts.U))) for x in table.column("hashes").to_pylist()])
+        counts = _grown(table.column("counts").to_pylist(), np.dtype(np.uint8))
         order = np.argsort(values, kind="stable")
         values, counts = values[order], counts[order]
         head = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         total = np.add.reduceat(counts.astype(np.int64), head)
-        kept = values[head][total >= votes].astype(ts.U) << ts.U(32)
+        found = values[head][total >= votes] << ts.U(64 - kept)
         blob = lambda x: pa.array([x.tobytes()], pa.binary())
-        found = pa.table({"seg": pa.array([seg], pa.int32()), "hashes": blob(kept), "counts": blob(np.ones(len(kept), np.uint32))})
-        return found if len(kept) else found.slice(0, 0)
+        made = pa.table({"seg": pa.array([seg], pa.int32()), "hashes": blob(found), "counts": blob(np.ones(len(found), np.uint32))})
+        return made if len(found) else made.slice(0, 0)
 
     return run
 
 
-def _matches(distance: int, bucket: int, step: int, wanted=None, bits: int = 0):
-    """Matches of one segment, as votes; with the broadcast filter ``wanted`` all those of the pairs of classes in it.
+def _agreeing(rows: np.ndarray, votes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of :data:`_VOTE`: the pairs that have ``votes`` places in one cell, and the rows of all others.
+
+    Turn and origin are voted for in a grid and in the same grid moved by half a cell.
+    """
+    if not len(rows):
+        return np.zeros(0, _PAIR), rows
+    rows = rows[np.lexsort((rows["q"], rows["p"]))]
+    head = np.flatnonzero(np.concatenate([[True], (rows["p"][1:] != rows["p"][:-1]) | (rows["q"][1:] != rows["q"][:-1])]))
+    size = np.diff(np.append(head, len(rows)))
+    enough = np.repeat(size >= votes, size)
+    some, pair, good = rows[enough], np.repeat(np.arange(len(head)), size)[enough], np.zeros(len(head), bool)
+    for g in (0, 1):
+        turn = (some["dt"] + 2 * g) // 4 % (TURNS // 4)
+        cells = [some["spot"], (some["hy"] + g) // 2, (some["hx"] + g) // 2, turn, some["ds"], pair]
+        order = np.lexsort(cells)
+        moved = [np.concatenate([np.ones(min(1, len(c)), bool), c[order][1:] != c[order][:-1]]) for c in cells]
+        cell = np.logical_or.reduce(moved[1:])
+        number = np.cumsum(cell) - 1
+        n = np.bincount(number[cell | moved[0]], minlength=int(cell.sum()))
+        good[pair[order][cell][n >= votes]] = True
+    pairs = np.zeros(int(good.sum()), _PAIR)
+    pairs["a"], pairs["b"] = rows["p"][head[good]], rows["q"][head[good]]
+    return pairs, rows[~np.repeat(good, size)]
+
+
+def _decided(distance: int, bucket: int, step: int, votes: int, wanted, bits: int, kept: int, parts: int, most: int = 1 << 20):
+    """Of pairs of classes in the broadcast filter ``wanted``: those that these segments link, and the votes of the others, dealt by pair."""
+
+    def run(table: pa.Table) -> pa.Table:
+        groups, held, n, made = _Groups(table), [], 0, []
+
+        def flush() -> None:
+            pairs, rows = _agreeing(np.concatenate(held), votes)
+            cuts = []
+            for x, (a, b) in ((rows, ("p", "q")), (pairs, ("a", "b"))):
+                own = (ts.mix(ts.mix(x[a].astype(ts.U)) + x[b].astype(ts.U)) >> ts.U(32)).astype(np.int64) % parts
+                order = np.argsort(own, kind="stable")
+                cuts.append((x[order], np.searchsorted(own[order], np.arange(parts + 1))))
+            for k in range(parts):
+                rows, pairs = (x[cut[k] : cut[k + 1]] for x, cut in cuts)
+                if len(rows) or len(pairs):
+                    classes, rows = _numbered(rows, "p", "q")
+                    made.append((k, classes.tobytes(), _shrunk(rows), _shrunk(pairs)))
+
+        for left, right in groups.met(distance, bucket):
+            keep = segments.bloom_probe(wanted.value, bits, groups.hashes(left, right, kept))
+            for a, b in groups.points(left[keep], right[keep], most):
+                held.append(np.ascontiguousarray(_votes(a, b, step)).view(_VOTE).ravel())
+                n += len(a)
+                if n >= most:
+                    flush()
+                    held, n = [], 0
+        if n:
+            flush()
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        columns = list(zip(*made)) or [()] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["seg", "classes", "votes", "pairs"])
+
+    return run
+
+
+def _agreed(votes: int):
+    """The links among pairs whose votes, or links of single segments, have come together."""
+
+    def run(seg: int, table: pa.Table) -> pa.Table:
+        held = [np.zeros(0, _VOTE)]
+        for classes, blob in zip(table.column("classes").to_pylist(), table.column("votes").to_pylist()):
+            rows, classes = _grown([blob], _VOTE), np.frombuffer(classes, np.int64)
+            rows["p"], rows["q"] = classes[rows["p"]], classes[rows["q"]]
+            held.append(rows)
+        late, _ = _agreeing(np.concatenate(held), votes)
+        found = np.unique(np.concatenate([late, _grown(table.column("pairs").to_pylist(), _PAIR)]))
+        return pa.table({"a": found["a"], "b": found["b"]})
+
+    return run
+
+
+def _matches(distance: int, bucket: int, step: int):
+    """Matches of one segment, as votes.
 
     A match states a change of scale, a turn, and where the other image's origin then lies;
     the origin is given in halves of a cell of ``step`` pixels.
     """
 
     def run(seg: int, table: pa.Table) -> pa.Table:
-        rows = [np.zeros((0, 7), np.int64)]
-        for a, b in _met(table, distance, bucket, wanted is not None):
-            if wanted is not None and len(a):
-                keep = segments.bloom_probe(wanted.value, bits, _pair_hashes(a, b))
-                a, b = a[keep], b[keep]
-            rows.append(_votes(a, b, step))
+        rows = [np.zeros((0, 7), np.int64)] + [_votes(a, b, step) for a, b in _met(table, distance, bucket)]
         rows = np.unique(np.concatenate(rows), axis=0)
         names = [x.split()[0] for x in _MATCH.split(", ")]
         found = pa.table({x: rows[:, k] for k, x in enumerate(names)})
@@ -558,11 +760,26 @@ def _matches(distance: int, bucket: int, step: int, wanted=None, bits: int = 0):
     return run
 
 
+def _whole(held: DataFrame, n: int, size: int, votes: int, distance: int, bucket: int, step: int, bits: int) -> DataFrame:
+    """Links by consensus of all entries, dealt once: pairs that may have votes enough are counted, then decided."""
+    context, kept = held.sparkSession.sparkContext, _pair_bits(n)
+    parts = min(1 << bits, max(2 * context.defaultParallelism, size >> 24))
+    dealt = segments.dealt(held.mapInArrow(_keyed(bits, votes, False, 1 << 18, parts), _PACKED), parts)
+    packed = segments.by_dealt(dealt, _counted(distance, bucket, bits, kept), segments.SCHEMA)
+    enough = segments.by_segment(packed, _enough(min(votes, 255), kept), segments.SCHEMA)
+    wanted = context.broadcast(segments.bloom_filter(enough, 1, segments.filter_bytes(8 * n, 16 << 20, bits), bits))
+    decided = segments.by_dealt(dealt, _decided(distance, bucket, step, votes, wanted, bits, kept, max(1, parts // 2)), _AGREED)
+    found = common.materialise(segments.by_segment(decided, _agreed(votes), "a bigint, b bigint"), "agreed")
+    wanted.destroy()
+    return found
+
+
 def links(known: DataFrame, votes: int = 5, distance: int = 5, bucket: int = 32, step: int = 24, whole: bool = False) -> DataFrame:
     """Pairs ``a, b`` of classes of rows ``class, points``, by a joint key, or by consensus beyond the components of those."""
     sizes = known.groupBy("class").agg(F.max(F.octet_length("points")).alias("n"))
     total, n = sizes.agg(F.sum("n"), F.count("*")).first()
-    bits = segments.segment_bits((total or 0) * BANDS * _ENTRY.itemsize // _POINT.itemsize)
+    size = (total or 0) * BANDS * _ENTRY.itemsize // _POINT.itemsize
+    bits = segments.segment_bits(size)
     made = known.select("class", F.col("class").alias("root"), "points").mapInArrow(_keyed(bits, votes, True), _JOINT)
     joint = common.materialise(segments.by_segment(made, _joined, "a bigint, b bigint"), "joint")
     held = known.groupBy("class").agg(F.min("points").alias("points"))
@@ -572,16 +789,10 @@ def links(known: DataFrame, votes: int = 5, distance: int = 5, bucket: int = 32,
     else:
         held = held.withColumn("root", F.col("class"))
     held = held.select("class", F.coalesce("root", "class").alias("root"), "points")
-    made = held.mapInArrow(_keyed(bits, votes, False), _PACKED)
-    wanted = None
-    if whole:  # most pairs that match at all have few matches: only those with votes enough are written
-        packed = segments.by_segment(made, _counted(distance, bucket, bits), segments.SCHEMA)
-        enough = segments.by_segment(packed, _enough(min(votes, 255)), segments.SCHEMA)
-        size = segments.filter_bytes(8 * n, 16 << 20, bits)
-        wanted = known.sparkSession.sparkContext.broadcast(segments.bloom_filter(enough, 1, size, bits))
-    match = common.materialise(segments.by_segment(made, _matches(distance, bucket, step, wanted, bits), _MATCH), "matches")
     if whole:
-        wanted.destroy()
+        return _whole(held, n, size, votes, distance, bucket, step, bits).unionByName(joint.distinct())
+    made = held.mapInArrow(_keyed(bits, votes, False), _PACKED)
+    match = common.materialise(segments.by_segment(made, _matches(distance, bucket, step), _MATCH), "matches")
     # turn and origin are voted for in a grid and in the same grid moved by half a cell; all votes of a pair meet in one shuffle
     votes_of = match.repartition("p", "q").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("g"))
     cell = lambda h: F.floor((F.col(h) + F.col("g")) / 2).alias("c" + h)
@@ -591,6 +802,21 @@ def links(known: DataFrame, votes: int = 5, distance: int = 5, bucket: int = 32,
     return tally.select(F.col("p").alias("a"), F.col("q").alias("b")).unionByName(joint).distinct()
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs as stars: those of a task, each with the smallest class that they lead to."""
+    found = [np.stack([x.column(c).to_numpy() for c in ("a", "b")]) for x in batches]
+    nodes, ends = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], 1), return_inverse=True)
+    (a, b), root, before = ends.reshape(2, -1), np.arange(len(nodes)), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        for x in (root[a], root[b], a, b):
+            np.minimum.at(root, x, low)
+        root = root[root]
+    kept = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[root[kept]]), pa.array(nodes[kept])], ["a", "b"])
+
+
 def descriptors(images: DataFrame, kind: str, scales: int = 4, apart: int = 8) -> DataFrame:
     """``id, class, points`` of ``id, class, image``; points are packed as :data:`_POINT` has it."""
 
@@ -619,7 +845,7 @@ def copies(images: DataFrame, votes: int = 5, distance: int = 5, bucket: int = 3
     found = common.materialise(links(known.select("class", "points"), votes, distance, bucket, whole=whole), "consensus")
     lows = known.groupBy("class").agg(F.min("id").alias("low"))
     if found.head(1):
-        root = common.components(found).withColumnRenamed("node", "class")
+        root = common.components(found.mapInArrow(_forest, "a bigint, b bigint")).withColumnRenamed("node", "class")
         common.keep_last(images.sparkSession, since)
         lows = lows.join(root, "class", "left")
     else:

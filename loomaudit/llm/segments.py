@@ -73,6 +73,22 @@ def by_segment(packed: DataFrame, run: Callable[[int, pa.Table], pa.Table], sche
     return packed.groupBy("seg").applyInArrow(whole, schema)
 
 
+def dealt(packed: DataFrame, parts: int) -> DataFrame:
+    """Packed runs dealt by segment, for several passes: the shuffle is made now, and its files serve them all."""
+    spark, held = packed.sparkSession, packed.repartitionById(parts, "seg")
+    return DataFrame(spark._jsparkSession.createDataFrame(held._jdf.rdd(), held._jdf.schema()), spark)
+
+
+def by_dealt(held: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Apply ``run`` to all packed runs of each of the parts that :func:`dealt` has made, whole segments together."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := [x for x in batches if x.num_rows]:
+            yield from run(pa.Table.from_batches(found)).to_batches()
+
+    return held.mapInArrow(common.lean(whole), schema)
+
+
 def segment_bits(rows_bytes: int, each: int = 32 << 20) -> int:
     """Segments for so many bytes of text: about one for each ``each`` bytes, at least 64."""
     return max(6, int(np.ceil(np.log2(max(1, rows_bytes / each)))))

@@ -185,6 +185,49 @@ def test_frequent_descriptors_alone_lose_no_link(spark):
     assert media.links(df.filter("class < 3"), whole=True).count() == 0
 
 
+def repeated(rng, bits, n, wide=400):
+    """Points at ``n`` places with descriptors drawn from ``bits``, each beside one of its own."""
+    return scattered(rng, rng.choice(bits, n), rng.integers(0, wide, (n, 2)))
+
+
+def test_textures_that_match_everywhere_are_not_written_match_by_match(spark, tmp_path, monkeypatch):
+    """Twelve pictures that repeat one descriptor at 100 places: 660,000 matches are 66 links."""
+    monkeypatch.setattr(media.common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rng = np.random.default_rng(8)
+    rows = [(k, bytearray(repeated(rng, np.array([12345678901234567], np.uint64), 100))) for k in range(12)]
+    df = spark.createDataFrame(rows, "class bigint, points binary").repartition(4)
+    assert {(r.a, r.b) for r in media.links(df, whole=True).collect()} == {(a, b) for b in range(12) for a in range(b)}
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 100_000
+
+
+def test_links_of_whole_buckets_are_those_of_all_pairs(spark):
+    """Brute force over all points, by the rule: one transform, five places of the smaller class."""
+    rng, n = np.random.default_rng(4), 24
+    bits = rng.integers(0, 2**63, 10).astype(np.uint64)
+    bits = np.concatenate([bits, bits ^ np.uint64(9) << rng.integers(0, 60, 10).astype(np.uint64)])
+    points = [np.frombuffer(repeated(rng, bits, int(k), 160), media._POINT).copy() for k in rng.integers(3, 120, n)]
+    for k, p in enumerate(points):
+        p["scale"], p["turn"] = rng.integers(0, 2, len(p)), rng.choice([0, 1, 2, 63], len(p))
+    df = spark.createDataFrame([(k, bytearray(p.tobytes())) for k, p in enumerate(points)], "class bigint, points binary").repartition(4)
+    want = set()
+    for p in range(n):
+        for q in range(p + 1, n):
+            differ = points[p]["bits"][:, None] ^ points[q]["bits"][None]
+            i, j = np.nonzero((np.bitwise_count(differ) <= 5) & np.any([v == 0 for v in media._cut(differ)], 0))
+            a, b = (np.zeros(len(x), media._ENTRY) for x in (i, j))
+            for e, k, x in ((a, p, i), (b, q, j)):
+                e["class"], e["place"] = k, points[k]["scale"][x]
+                for name in ("y", "x", "turn"):
+                    e[name] = points[k][name][x]
+            cells = {(g, ds, (dt + 2 * g) // 4 % 16, (hx + g) // 2, (hy + g) // 2, spot) for _, _, ds, dt, hx, hy, spot in media._votes(a, b, 24).tolist() for g in (0, 1)}
+            places = [c[:5] for c in cells]
+            if any(places.count(c) >= 5 for c in set(places)):
+                want.add((p, q))
+    assert 20 < len(want) < n * (n - 1) // 2 - 20
+    for bucket in (2, 32):
+        assert {(r.a, r.b) for r in media.links(df, bucket=bucket, whole=True).collect()} == want
+
+
 def test_pairs_of_a_large_bucket_are_those_of_other_components():
     rng = np.random.default_rng(6)
     bits = rng.choice(np.array([1, 3, 7, 2**40 + 1, 2**40 - 1, 2**60], np.uint64), 300)
