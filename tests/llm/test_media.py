@@ -128,6 +128,19 @@ def test_defined_cases(spark):
     assert media.decode(b"P5 100000 100000 255 " + bytes(10)) is None
 
 
+def test_highest_and_sums_of_lines_laid_end_to_end():
+    rng = np.random.default_rng(2)
+    for w, radius in ((21, 2), (47, 8), (64, 16), (64, 25)):
+        x = rng.normal(0, 9, (60, w)).astype(np.float32)
+        for margin in (0, 10):
+            x[:, :margin] = x[:, w - margin :] = -np.inf
+            wide = np.pad(x, radius, constant_values=-np.inf)
+            want = np.max([wide[i : i + 60, j : j + w] for i in range(2 * radius + 1) for j in range(2 * radius + 1)], 0)
+            assert (media._highest(x, radius, margin) == want)[:, margin : w - margin].all()
+        x = rng.integers(0, 99, (60, w)).astype(np.float32)
+        assert (media._inner(x, 2).reshape(60, w) == media._box(x, 2))[:, 2:-2].all()
+
+
 def test_every_word_of_a_page_is_drawn():
     import pyarrow as pa
 
